@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import mix, pairs, tokens
+from linkloom.llm import mix, pairs, residue, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,9 @@ def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).order()
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found}
 SQL: dict[str, str] = {}
