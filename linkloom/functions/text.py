@@ -69,7 +69,7 @@ def list_items(text: Column) -> Column:
 def wiki_links(text: Column) -> Column:
     """Targets of ``[[target]]`` and ``[[target|label]]``, embeds left out, in order of their places."""
     found = F.regexp_extract_all(text, F.lit(r"(?<!!)\[\[([^\]\n|]+)(?:\|[^\]\n]*)?\]\]"), 1)
-    return F.filter(F.transform(found, F.trim), lambda t: t != "")
+    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def strip_fence(text: Column) -> Column:

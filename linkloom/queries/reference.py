@@ -62,6 +62,11 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.link_index(links.clean_links(table(spark, sf_dir, "stored_links")))
 
 
+def _current_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links stored at the newest snapshots."""
+    return _index(spark, sf_dir).join(_newest(spark, sf_dir).withColumnRenamed("repositoryCommit", "commit"), "commit", "left_semi")
+
+
 def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repositoryCommit of the newest snapshot of each repository."""
     pairs = snapshots.snapshot_pairs(table(spark, sf_dir, "commits"))
@@ -244,7 +249,7 @@ def link_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unlinked_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.unlinked(_requirements(spark, sf_dir), _index(spark, sf_dir))
+    return links.unlinked(_requirements(spark, sf_dir), _current_index(spark, sf_dir))
 
 
 def reconcile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +272,7 @@ def stale_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
+    index = _current_index(spark, sf_dir)
     broken = index.join(_known(spark, sf_dir), "symbolId", "left_anti")
     return links.coverage(_requirements(spark, sf_dir), index, broken)
 
@@ -285,7 +290,8 @@ def suspected_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols, commits = table(spark, sf_dir, "symbol_index"), table(spark, sf_dir, "commits")
     changes = snapshots.snapshot_changes(symbols, commits)
     pairs = snapshots.snapshot_pairs(commits)
-    source = ids.canonical_space(F.col("normalizedSource"))
+    # a renamed symbol carries its new name in its body
+    source = F.replace(ids.canonical_space(F.col("normalizedSource")), F.col("name"), F.lit("_"))
     bodies = symbols.select("repositoryCommit", _sym(), F.when(source != "", F.md5(source)).alias("body")).filter("symbolId is not null").groupBy("repositoryCommit", "symbolId").agg(F.max("body").alias("body"))
     before = bodies.join(pairs.filter("later is not null"), "repositoryCommit").select(F.col("later").alias("repositoryCommit"), "symbolId", "body")
     return links.renames(changes.filter("change = 'removed'").join(before, ["repositoryCommit", "symbolId"]), changes.filter("change = 'added'").join(bodies, ["repositoryCommit", "symbolId"]))

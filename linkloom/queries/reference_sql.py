@@ -1,3 +1,223 @@
 """The queries of ``reference`` in DuckDB's SQL."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from linkloom.config import BANDS, LEXICAL_V3, LEXICAL_V4, LEXICAL_V5, STOPWORDS, LexicalConfig
+from linkloom.queries.general import SQL as GENERAL
+from linkloom.queries.general import _canonical, _requirement, _symbol
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+
+def _tokens(x: str) -> str:
+    for pattern, by in ((r"[\\/]+", " "), (r"[_-]+", " "), (r"([a-z0-9])([A-Z])", r"\1 \2"), (r"([A-Z]+)([A-Z][a-z])", r"\1 \2"), (r"[^\p{L}\p{N}\s]+", " ")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return f"list_filter(string_split_regex(lower({x}), '\\s+'), lambda t: t <> '')"
+
+
+def _fold(t: str, revision: int) -> str:
+    double = "(ches|shes|xes|zes|ses)$" if revision == 1 else "(ches|shes|xes|zes|sses)$"
+    return (
+        f"CASE WHEN length({t}) <= {3 if revision == 1 else 2} THEN {t} WHEN {t} LIKE '%ies' AND length({t}) > 4 THEN {t}[:-4] || 'y' "
+        f"WHEN regexp_matches({t}, '(ss|us|is)$') THEN {t} WHEN regexp_matches({t}, '{double}') THEN {t}[:-3] WHEN {t} LIKE '%s' THEN {t}[:-2] ELSE {t} END"
+    )
+
+
+_COLS = ["kind", "name", "qualifiedName", "relativePath", "startLine", "endLine", "signature", "documentation", "normalizedSource"]
+_CORPUS = f"""corpus AS (
+  SELECT * EXCLUDE (n, s, raw), s AS symbolId, s || '@' || repositoryCommit AS doc FROM (
+    SELECT * EXCLUDE (symbolId), symbolId AS raw, {_symbol("symbolId")} AS s, row_number() OVER (PARTITION BY repositoryCommit, {_symbol("symbolId")}
+      ORDER BY loadedAt DESC NULLS LAST, {", ".join(c + " DESC NULLS LAST" for c in _COLS)}) AS n FROM symbol_index)
+  WHERE n = 1 AND s IS NOT NULL AND repositoryCommit IS NOT NULL)"""
+_REQS = f"""reqs AS (
+  SELECT requirementId, title, difficulty, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY requirementId ORDER BY title DESC NULLS LAST, difficulty DESC NULLS LAST, text DESC) AS n FROM (
+      SELECT {_requirement("id")} AS requirementId, title, difficulty, coalesce(title, '') || ' ' || coalesce(statement, '')
+        || CASE WHEN coalesce(array_to_string(acceptance_criteria, ' '), '') <> '' THEN ' ' || array_to_string(acceptance_criteria, ' ') ELSE '' END AS text
+      FROM requirements) WHERE requirementId IS NOT NULL) WHERE n = 1)"""
+_FIELDS = """fields AS (
+  SELECT doc, unnest([{'field': 'name', 'weight': 4.0, 'content': coalesce(name, '') || ' ' || coalesce(qualifiedName, '')}, {'field': 'signature', 'weight': 3.0, 'content': coalesce(signature, '')},
+    {'field': 'documentation', 'weight': 2.0, 'content': coalesce(documentation, '')}, {'field': 'path', 'weight': 2.0, 'content': coalesce(relativePath, '')},
+    {'field': 'source', 'weight': 1.0, 'content': coalesce(normalizedSource, '')}], recursive := true) FROM corpus)"""
+_LISTS10 = "lists AS (" + GENERAL["p3_found"].replace("place <= 5", "place <= 10") + ")"
+_LISTS5 = "lists AS (" + GENERAL["p3_found"] + ")"
+_LABELS = f"labels AS (SELECT {_requirement('requirementId')} AS requirementId, {_symbol('symbolId')} AS symbolId, relationship, repositoryCommit FROM labeled_links WHERE {_requirement('requirementId')} IS NOT NULL AND {_symbol('symbolId')} IS NOT NULL)"
+_LOG = f"""log AS (SELECT DISTINCT seq, {_requirement("requirementId")} AS requirementId, {_symbol("proposedSymbolId")} AS proposedSymbolId, {_symbol("symbolId")} AS symbolId, lower(trim(kind)) AS kind,
+    relationship, modelClassification, modelConfidence, band, reviewer, repositoryCommit, max(timestamp) OVER (PARTITION BY seq) AS timestamp FROM decisions
+  WHERE {_requirement("requirementId")} IS NOT NULL AND {_symbol("proposedSymbolId")} IS NOT NULL AND seq IS NOT NULL AND lower(trim(kind)) IN ('accept', 'reject', 'redirect')),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY requirementId, proposedSymbolId ORDER BY seq DESC) AS n FROM log) WHERE n = 1)"""
+_INDEX = f"""idx AS (SELECT requirementId, symbolId, reviewer, timestamp, "commit" FROM (
+    SELECT *, row_number() OVER (PARTITION BY requirementId, symbolId ORDER BY timestamp NULLS LAST, "commit" NULLS LAST, reviewer NULLS LAST) AS n FROM (
+      SELECT {_requirement("requirementId")} AS requirementId, {_symbol("symbolId")} AS symbolId, reviewer, timestamp, "commit" FROM stored_links)
+    WHERE requirementId IS NOT NULL AND symbolId IS NOT NULL) WHERE n = 1)"""
+_NEWEST = """newest AS (SELECT repositoryCommit FROM (SELECT repositoryCommit, row_number() OVER (PARTITION BY repository ORDER BY snapshotNo DESC) AS n FROM commits) WHERE n = 1)"""
+_KNOWN = _NEWEST + f", known AS (SELECT DISTINCT {_symbol('symbolId')} AS symbolId FROM symbol_index SEMI JOIN newest USING (repositoryCommit) WHERE {_symbol('symbolId')} IS NOT NULL)"
+
+
+def _band(confidence: str, kind: str) -> str:
+    return f"CASE WHEN {kind} = 'unrelated' THEN 'discard' WHEN {confidence} >= 0.75 THEN 'suggest' WHEN {confidence} >= 0.5 THEN 'review' ELSE 'discard' END"
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+def _stop_table(config: LexicalConfig) -> str:
+    if not config.protect_identifiers:
+        return f"stop AS (SELECT unnest({_STOP}) AS word)"
+    used = f"SELECT unnest({_tokens('name || chr(32) || qualifiedName')}) AS t FROM corpus WHERE name IS NOT NULL AND qualifiedName IS NOT NULL"
+    return f"used AS ({used}), stop AS (SELECT word FROM (SELECT unnest({_STOP}) AS word) WHERE word NOT IN (SELECT t FROM used UNION SELECT {_fold('t', config.plural_revision)} FROM used))"
+
+
+def _bm25f(config: LexicalConfig) -> str:
+    r = config.plural_revision
+    filtered = f"list_transform(list_filter({_tokens('content')}, lambda t: NOT list_contains(stops, t)), lambda t: {_fold('t', r)})"
+    prior = "CASE WHEN kind IN ('file', 'module') THEN 0.5 ELSE 1.0 END"
+    inner = "0"
+    contained = ""
+    if config.containment is not None:
+        contained = """, inside AS (SELECT o.doc, count(i.doc) AS n FROM corpus o LEFT JOIN corpus i ON o.repositoryCommit = i.repositoryCommit AND o.relativePath = i.relativePath
+          AND o.startLine <= i.startLine AND o.endLine >= i.endLine AND i.endLine - i.startLine < o.endLine - o.startLine GROUP BY o.doc)"""
+        inner = f"{config.containment} * inside.n"
+    return (
+        _with(_CORPUS, _REQS, _FIELDS, _stop_table(config))
+        + f""", stoplist AS (SELECT coalesce(list(word), []) AS stops FROM stop), words AS (SELECT doc, field, weight, {filtered} AS terms FROM fields, stoplist),
+    avgs AS (SELECT field, avg(len(terms)) AS a FROM words WHERE len(terms) > 0 GROUP BY field),
+    hits AS (SELECT doc, unnest(terms) AS term, weight / (1 - {config.b} + {config.b} * len(terms) / a) AS share FROM words JOIN avgs USING (field)),
+    pseudo AS (SELECT doc, term, sum(share) AS p FROM hits GROUP BY ALL),
+    dfs AS (SELECT term, count(*) AS df FROM pseudo GROUP BY term),
+    q AS (SELECT requirementId, term, count(*) AS qtf FROM (SELECT requirementId, unnest({filtered.replace("content", "text")}) AS term FROM reqs, stoplist WHERE try_cast(regexp_extract(requirementId, '(\\d+)$', 1) AS INTEGER) % 20 = 0) GROUP BY ALL){contained},
+    raw AS (SELECT requirementId, doc, sum(qtf * ln(1 + ((SELECT count(*) FROM corpus) - df + 0.5) / (df + 0.5)) * p * {config.k1 + 1} / ({config.k1} + p)) AS s FROM q JOIN pseudo USING (term) JOIN dfs USING (term) GROUP BY ALL),
+    scored AS (SELECT requirementId, doc, round(s * {prior} / (1 + {inner}), 9) AS score FROM raw JOIN corpus USING (doc) {"JOIN inside USING (doc)" if contained else ""}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY requirementId ORDER BY score DESC, doc) AS rank FROM scored WHERE score > 0)
+    SELECT requirementId, CAST(rank AS INTEGER) AS rank, doc, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
+    )
+
+
+_METRICS = (
+    _with(_LISTS10, _LABELS, _REQS)
+    + """, scope AS (SELECT DISTINCT configurationId, requirementId, repositoryCommit FROM lists),
+  truth AS (SELECT DISTINCT requirementId, repositoryCommit, symbolId FROM labels WHERE relationship = 'implements'),
+  rel AS (SELECT s.*, t.symbolId FROM scope s JOIN truth t USING (requirementId, repositoryCommit)),
+  sizes AS (SELECT configurationId, requirementId, repositoryCommit, count(*) AS relevant FROM rel GROUP BY ALL),
+  hits AS (SELECT configurationId, requirementId, repositoryCommit, min(place) AS first, """
+    + ", ".join(f"count(*) FILTER (place <= {k}) AS f{k}" for k in (1, 3, 5, 10))
+    + """ FROM lists SEMI JOIN rel USING (configurationId, requirementId, repositoryCommit, symbolId) GROUP BY ALL),
+  items AS (SELECT scope.*, relevant, CASE WHEN relevant > 0 THEN coalesce(1 / first, 0) END AS rr, """
+    + ", ".join(f"CASE WHEN relevant > 0 THEN coalesce(f{k} / relevant, 0) END AS r{k}, CASE WHEN relevant > 0 THEN CASE WHEN coalesce(f{k}, 0) > 0 THEN 1.0 ELSE 0.0 END END AS h{k}" for k in (1, 3, 5, 10))
+    + """ FROM scope LEFT JOIN sizes USING (configurationId, requirementId, repositoryCommit) LEFT JOIN hits USING (configurationId, requirementId, repositoryCommit)),
+  sliced AS (SELECT i.*, unnest(CASE WHEN difficulty <> '' THEN ['overall', difficulty] ELSE ['overall'] END) AS stratum FROM items i LEFT JOIN reqs USING (requirementId)),
+  metrics AS (SELECT configurationId, stratum, count(*) FILTER (relevant > 0) AS scored, count(*) FILTER (relevant IS NULL) AS unscored, """
+    + ", ".join(f"round(coalesce(avg(r{k}), 0), 9) AS recall_{k}, round(coalesce(avg(h{k}), 0) * 100, 7) AS hit_{k}" for k in (1, 3, 5, 10))
+    + """, round(coalesce(avg(rr), 0), 9) AS mrr FROM sliced GROUP BY ALL)
+"""
+)
+
+_FUSION = (
+    _with("lists AS (" + GENERAL["p3_found"].replace("place <= 5", "place <= 10") + ")")
+    + """, parts AS ({parts}),
+  merged AS (SELECT requirementId, repositoryCommit, symbolId, round(sum(part), 12) AS score FROM parts GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY requirementId, repositoryCommit ORDER BY score DESC, symbolId) AS rank FROM merged)
+SELECT requirementId, repositoryCommit, CAST(rank AS INTEGER) AS rank, symbolId, round(score, 9) AS score FROM ranked WHERE rank <= 5"""
+)
+_COVERAGE = (
+    _with(_REQS, _INDEX, _KNOWN)
+    + """, cur AS (SELECT * FROM idx WHERE "commit" IN (SELECT repositoryCommit FROM newest)),
+  counts AS (SELECT requirementId, count(*) AS links, count(*) FILTER (symbolId NOT IN (SELECT symbolId FROM known)) AS broken_links FROM cur GROUP BY ALL),
+  states AS (SELECT requirementId, CASE WHEN links IS NULL THEN 'unlinked' WHEN links = broken_links THEN 'stale' ELSE 'linked' END AS state, coalesce(links, 0) AS links, coalesce(broken_links, 0) AS broken_links
+    FROM (SELECT DISTINCT requirementId FROM reqs) LEFT JOIN counts USING (requirementId))
+"""
+)
+_PAYLOAD = (
+    _with(_LISTS5, _CORPUS)
+    + """, items AS (SELECT requirementId, configurationId, l.repositoryCommit, place AS rank, l.symbolId,
+    least(length(coalesce(signature, '')), 501) AS signature, least(length(coalesce(documentation, '')), 1001) AS documentation, least(length(coalesce(normalizedSource, '')), 2001) AS source
+    FROM lists l JOIN corpus c ON l.symbolId = c.symbolId AND l.repositoryCommit = c.repositoryCommit WHERE place <= 3)
+"""
+)
+_CHANGES = "changes AS (" + GENERAL["p4_found"] + ")"
+_LINKS = r"list_filter(list_transform(regexp_extract_all(text, '(!?)\[\[([^\]\n|]+)(?:\|[^\]\n]*)?\]\]', 0), lambda m: CASE WHEN m[1] = '!' THEN '' ELSE trim(regexp_extract(m, '\[\[([^\]\n|]+)', 1)) END), lambda t: t <> '')"
+_CENTRE = " || '\x0a' || "
+_TEXT = (
+    "coalesce(kind, '') || ' ' || coalesce(qualifiedName, '') || chr(10) || 'path: ' || coalesce(relativePath, '')"
+    + "".join(f" || CASE WHEN coalesce({c}, '') <> '' THEN chr(10) || '{label}: ' || {c} ELSE '' END" for label, c in (("signature", "signature"), ("documentation", "documentation"), ("source", "normalizedSource")))
+)
+
+SQL: dict[str, str] = {
+    "token_counts": f"SELECT source, CAST(sum(len(t)) AS BIGINT) AS tokens, CAST(sum(len(list_distinct(t))) AS BIGINT) AS distinct_tokens FROM (SELECT source, {_tokens('text')} AS t FROM documents WHERE text IS NOT NULL) GROUP BY source",
+    "folded_terms": _with(_REQS) + f"SELECT term, {_fold('term', 1)} AS folded_1, {_fold('term', 2)} AS folded_2, count(*) AS n FROM (SELECT unnest(list_filter({_tokens('text')}, lambda t: NOT list_contains({_STOP}, t))) AS term FROM reqs) GROUP BY term",
+    "protected_stopwords": _with(_CORPUS, _stop_table(LEXICAL_V5)) + f"SELECT w AS word, w IN (SELECT word FROM stop) AS kept FROM (SELECT unnest({_STOP}) AS w)",
+    "term_stats": _with(_CORPUS, _FIELDS) + f""", pairs AS (SELECT DISTINCT doc, unnest(list_transform(list_filter({_tokens('content')}, lambda t: NOT list_contains({_STOP}, t)), lambda t: {_fold('t', 2)})) AS term FROM fields)
+        SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM pairs GROUP BY term""",
+    "field_lengths": _with(_CORPUS, _FIELDS) + f"SELECT field, round(avg(nullif(len(list_filter({_tokens('content')}, lambda t: NOT list_contains({_STOP}, t))), 0)), 6) AS average_length FROM fields GROUP BY field",
+    "bm25f_topk": _bm25f(LEXICAL_V5), "bm25f_v4_topk": _bm25f(LEXICAL_V4), "bm25f_v3_topk": _bm25f(LEXICAL_V3),
+    "span_containment": _with(_CORPUS) + """SELECT o.doc, count(i.doc) AS "inner" FROM corpus o LEFT JOIN corpus i ON o.repositoryCommit = i.repositoryCommit AND o.relativePath = i.relativePath
+        AND o.startLine <= i.startLine AND o.endLine >= i.endLine AND i.endLine - i.startLine < o.endLine - o.startLine GROUP BY o.doc""",
+    "cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_cosine_similarity(q.e, i.e), 9) AS score FROM v q, v i WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) SELECT query, CAST(rank AS INTEGER) AS rank, item, round(score, 6) AS score FROM r WHERE rank <= 10""",
+    "embedding_texts": _with(_CORPUS, _REQS) + f"SELECT DISTINCT substr(sha256(text), 1, 32) AS key, CAST(length(text) AS INTEGER) AS chars FROM (SELECT {_TEXT} AS text FROM corpus UNION ALL SELECT text FROM reqs) WHERE substr(sha256(text), 1, 1) <> '0'",
+    "rrf_fusion": _FUSION.replace("{parts}", "SELECT requirementId, repositoryCommit, symbolId, 1.0 / (60 + place) AS part FROM lists WHERE configurationId IN ('bm25f-v5', 'semantic-v2')"),
+    "weighted_fusion": _FUSION.replace("{parts}", """SELECT requirementId, repositoryCommit, symbolId, 0.5 * CASE WHEN max(1.0 / place) OVER w = min(1.0 / place) OVER w THEN 1.0 ELSE (1.0 / place - min(1.0 / place) OVER w) / (max(1.0 / place) OVER w - min(1.0 / place) OVER w) END AS part
+        FROM lists WHERE configurationId IN ('bm25f-v5', 'semantic-v2') WINDOW w AS (PARTITION BY requirementId, repositoryCommit, configurationId)"""),
+    "retrieval_metrics": _METRICS + "SELECT * FROM metrics",
+    "config_comparison": _METRICS + """, best AS (SELECT stratum, max(recall_10) AS best, count(*) AS reported FROM metrics GROUP BY stratum)
+        SELECT stratum, reported, best, (SELECT string_agg(configurationId, ',' ORDER BY configurationId) FROM metrics m WHERE m.stratum = best.stratum AND m.recall_10 = best.best) AS best_by FROM best""",
+    "config_pivot": _METRICS + "SELECT stratum, max(mrr) FILTER (configurationId = 'bm25f-v5') AS bm25f_v5, max(mrr) FILTER (configurationId = 'hybrid-rrf-v1') AS hybrid_rrf_v1, max(mrr) FILTER (configurationId = 'semantic-v2') AS semantic_v2 FROM metrics GROUP BY stratum",
+    "proposal_metrics": _with(_LOG, _LABELS, _REQS) + f""", strata AS (SELECT requirementId, unnest(CASE WHEN difficulty <> '' THEN ['overall', difficulty] ELSE ['overall'] END) AS stratum FROM reqs),
+        p AS (SELECT DISTINCT stratum, requirementId, proposedSymbolId AS symbolId FROM latest JOIN strata USING (requirementId) WHERE modelClassification = 'implements' AND {_band('modelConfidence', 'modelClassification')} IN ('suggest', 'review')),
+        r AS (SELECT DISTINCT stratum, requirementId, symbolId FROM labels JOIN strata USING (requirementId) WHERE relationship = 'implements'),
+        c AS (SELECT stratum, count(p.symbolId) AS predicted, count(r.symbolId) AS relevant, count(*) FILTER (p.symbolId IS NOT NULL AND r.symbolId IS NOT NULL) AS tp FROM (SELECT *, 1 AS x FROM p) p FULL JOIN (SELECT *, 1 AS y FROM r) r USING (stratum, requirementId, symbolId) GROUP BY stratum)
+        SELECT stratum, predicted, relevant, tp AS true_positives, round(coalesce(tp / nullif(predicted, 0), 0), 9) AS precision, round(coalesce(tp / nullif(relevant, 0), 0), 9) AS recall,
+          round(coalesce(2 * (tp / nullif(predicted, 0)) * (tp / nullif(relevant, 0)) / nullif(coalesce(tp / nullif(predicted, 0), 0) + coalesce(tp / nullif(relevant, 0), 0), 0), 0), 9) AS f1 FROM c""",
+    "band_counts": _with(_LOG) + f"SELECT modelClassification, {_band('modelConfidence', 'modelClassification')} AS band, count(*) AS n FROM log GROUP BY ALL",
+    "link_state": _with(_LOG) + "SELECT requirementId, proposedSymbolId, symbolId, relationship FROM latest WHERE kind <> 'reject'",
+    "recorded_bands": _with(_LOG) + "SELECT requirementId, proposedSymbolId, band FROM latest",
+    "review_statistics": _with(_LOG) + f""", x AS (SELECT *, unnest(CASE WHEN band IN {BANDS} THEN ['all', band] ELSE ['all'] END) AS slice, coalesce(kind = 'redirect' OR (kind = 'reject' AND band = 'suggest') OR (kind = 'accept' AND band = 'discard'), false) AS o FROM latest)
+        SELECT slice AS band, count(*) AS decided, count(*) FILTER (kind = 'accept') AS accepted, count(*) FILTER (kind = 'reject') AS rejected, count(*) FILTER (kind = 'redirect') AS redirected, count(*) FILTER (o) AS overrides, round(count(*) FILTER (o) / count(*), 9) AS override_rate FROM x GROUP BY slice""",
+    "review_queue": _with(_LOG, _KNOWN) + f""", p AS (SELECT requirementId, proposedSymbolId AS symbolId, max(modelConfidence) AS c, max(modelClassification) AS k FROM log GROUP BY ALL),
+        d AS (SELECT DISTINCT requirementId, proposedSymbolId AS symbolId FROM log WHERE reviewer < 'reviewer-10')
+        SELECT requirementId, symbolId, {_band('c', 'k')} AS band, symbolId NOT IN (SELECT symbolId FROM known) AS stale FROM p ANTI JOIN d USING (requirementId, symbolId) WHERE {_band('c', 'k')} <> 'discard'""",
+    "link_index": _with(_INDEX) + 'SELECT requirementId, symbolId, reviewer, timestamp, "commit" FROM idx',
+    "link_adjacency": _with(_INDEX) + """SELECT 'requirement' AS side, requirementId AS key, string_agg(DISTINCT symbolId, ',' ORDER BY symbolId) AS items FROM idx GROUP BY requirementId
+        UNION ALL SELECT 'symbol', symbolId, string_agg(DISTINCT requirementId, ',' ORDER BY requirementId) FROM idx GROUP BY symbolId""",
+    "unlinked_requirements": _COVERAGE + "SELECT requirementId FROM states WHERE links = 0",
+    "coverage_states": _COVERAGE + "SELECT * FROM states",
+    "coverage_summary": _COVERAGE + "SELECT state, count(*) AS requirements, CAST(sum(links) AS BIGINT) AS links, CAST(sum(broken_links) AS BIGINT) AS broken_links FROM states GROUP BY state",
+    "reconcile_links": _with(_LOG, _INDEX) + """, e AS (SELECT requirementId, symbolId, reviewer, timestamp, repositoryCommit AS c FROM (SELECT *, row_number() OVER (PARTITION BY requirementId, symbolId ORDER BY timestamp NULLS LAST, repositoryCommit NULLS LAST, reviewer NULLS LAST) AS m
+          FROM latest WHERE kind <> 'reject' AND symbolId IS NOT NULL) WHERE m = 1)
+        SELECT coalesce(e.requirementId, idx.requirementId) AS requirementId, coalesce(e.symbolId, idx.symbolId) AS symbolId, CASE WHEN idx.symbolId IS NULL THEN 'missing-from-index' WHEN e.symbolId IS NULL THEN 'absent-from-frontmatter' ELSE 'field-mismatch' END AS rule
+        FROM e FULL JOIN idx ON e.requirementId = idx.requirementId AND e.symbolId = idx.symbolId WHERE e.symbolId IS NULL OR idx.symbolId IS NULL OR e.reviewer IS DISTINCT FROM idx.reviewer OR e.timestamp IS DISTINCT FROM idx.timestamp OR e.c IS DISTINCT FROM idx."commit\"""",
+    "resolved_links": _with(_INDEX, _KNOWN) + """SELECT requirementId, symbolId, symbolId IN (SELECT symbolId FROM known) AS resolved, CASE WHEN symbolId IN (SELECT symbolId FROM known) THEN 'now' ELSE "commit" END AS last_resolved FROM idx""",
+    "stale_proposals": _with(_LOG, _KNOWN) + r""", p AS (SELECT DISTINCT requirementId, proposedSymbolId AS symbolId, nullif(regexp_extract(proposedSymbolId, '^[^:]+:([^#]*)#', 1), '') AS path FROM log)
+        SELECT requirementId, symbolId, symbolId NOT IN (SELECT symbolId FROM known) AS stale, CASE WHEN symbolId NOT IN (SELECT symbolId FROM known) THEN CASE WHEN list_has_any(string_split(path, '/'), ['views', 'report']) THEN 'excluded' ELSE 'missing' END END AS reason, path FROM p""",
+    "drifted_links": _with(_INDEX, _CHANGES) + "SELECT requirementId, symbolId, c.repositoryCommit, change FROM idx JOIN changes c USING (symbolId)",
+    "suspected_renames": _with(_CHANGES) + f""", pairs AS (SELECT repositoryCommit, lead(repositoryCommit) OVER (PARTITION BY repository ORDER BY snapshotNo) AS later FROM commits),
+        b AS (SELECT repositoryCommit, {_symbol("symbolId")} AS symbolId, max(nullif(replace({_canonical("normalizedSource")}, name, '_'), '')) AS raw FROM symbol_index WHERE {_symbol("symbolId")} IS NOT NULL GROUP BY ALL),
+        gone AS (SELECT c.repositoryCommit, c.symbolId, raw FROM changes c JOIN pairs p ON p.later = c.repositoryCommit JOIN b ON b.repositoryCommit = p.repositoryCommit AND b.symbolId = c.symbolId WHERE change = 'removed' AND raw IS NOT NULL),
+        new AS (SELECT c.repositoryCommit, raw, min(c.symbolId) AS renamed_to, count(*) AS candidates FROM changes c JOIN b USING (repositoryCommit, symbolId) WHERE change = 'added' AND raw IS NOT NULL GROUP BY ALL)
+        SELECT gone.repositoryCommit, symbolId, renamed_to, candidates FROM gone JOIN new USING (repositoryCommit, raw)""",
+    "result_differences": _with(_LISTS5) + """, a AS (SELECT * FROM lists WHERE configurationId = 'bm25f-v5'), b AS (SELECT * FROM lists WHERE configurationId = 'hybrid-rrf-v1')
+        SELECT requirementId, repositoryCommit, symbolId AS item, a.place AS first_rank, b.place AS second_rank FROM a FULL JOIN b USING (requirementId, repositoryCommit, symbolId) WHERE a.place IS DISTINCT FROM b.place""",
+    "payload_items": _PAYLOAD + "SELECT requirementId, configurationId, repositoryCommit, rank, symbolId, CAST(signature AS INTEGER) AS signature, CAST(documentation AS INTEGER) AS documentation, CAST(source AS INTEGER) AS source FROM items",
+    "payload_audit": _PAYLOAD + """, cand AS (SELECT * FROM lists WHERE place <= 2), s AS (SELECT DISTINCT requirementId, configurationId, repositoryCommit FROM items), r AS (SELECT DISTINCT requirementId, configurationId, repositoryCommit FROM cand),
+        v AS (SELECT 'unknown-list' AS rule FROM s ANTI JOIN r USING (requirementId, configurationId, repositoryCommit) UNION ALL SELECT 'missing-list' FROM r ANTI JOIN s USING (requirementId, configurationId, repositoryCommit)
+          UNION ALL SELECT 'excess-items' FROM (SELECT 1 FROM items GROUP BY requirementId, configurationId, repositoryCommit HAVING count(*) > 2)
+          UNION ALL SELECT 'unretrieved-item' FROM items ANTI JOIN cand USING (requirementId, configurationId, repositoryCommit, symbolId))
+        SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+    "usage_totals": f"""WITH u AS (SELECT {_requirement("requirement_id")} AS requirementId, coalesce(CAST(ceil(length(text) / 4) AS BIGINT), 0) AS i FROM documents)
+        SELECT NULL AS requirementId, true AS whole, count(*) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(count(*) * 60 AS BIGINT) AS output_tokens FROM u
+        UNION ALL SELECT requirementId, false, count(*), CAST(sum(i) AS BIGINT), CAST(count(*) * 60 AS BIGINT) FROM u WHERE requirementId IS NOT NULL GROUP BY requirementId""",
+    "duplicate_ids": f"SELECT {_requirement('id')} AS requirementId, count(*) AS n, coalesce(string_agg(DISTINCT path, ',' ORDER BY path), '') AS paths FROM requirements WHERE {_requirement('id')} IS NOT NULL GROUP BY {_requirement('id')} HAVING count(*) > 1",
+    "overload_ids": _with(_CORPUS) + f""", b AS (SELECT *, 'ts:' || replace(relativePath, chr(92), '/') || '#' || qualifiedName || ':' || kind AS base FROM corpus WHERE relativePath IS NOT NULL AND qualifiedName IS NOT NULL AND kind IS NOT NULL),
+        g AS (SELECT *, count(*) OVER (PARTITION BY repositoryCommit, base) > 1 AS shared FROM b)
+        SELECT repositoryCommit, symbolId, CASE WHEN shared THEN base || ':' || substr(sha256({_canonical("signature")}), 1, 8) ELSE base END AS made, shared AS overloaded FROM g""",
+    "wiki_backlinks": f"SELECT target, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({_LINKS}) AS target FROM documents WHERE text IS NOT NULL) GROUP BY target",
+    "wiki_resolution": f"""WITH l AS (SELECT DISTINCT doc_id AS doc, unnest({_LINKS}) AS target FROM documents WHERE text IS NOT NULL),
+        d AS (SELECT DISTINCT path, {_requirement("id")} AS r, regexp_replace(path, '\\.md$', '') AS stem FROM requirements WHERE path IS NOT NULL),
+        k AS (SELECT 1 AS tier, path AS target, path FROM d UNION ALL SELECT 1, stem, path FROM d UNION ALL SELECT 2, string_split(stem, '/')[-1], path FROM d UNION ALL SELECT 3, r, path FROM d),
+        f AS (SELECT target, path FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY tier, path) AS n FROM k WHERE target IS NOT NULL) WHERE n = 1)
+        SELECT doc, l.target, f.path FROM l LEFT JOIN f ON l.target = f.target""",
+    "symbol_counts": _with(_CORPUS) + "SELECT repositoryCommit, kind, count(*) AS symbols, count(DISTINCT relativePath) AS files FROM corpus GROUP BY ALL",
+    "symbol_paths": _with(_CORPUS) + r""", p AS (SELECT nullif(regexp_extract(symbolId, '^[^:]+:([^#]*)#', 1), '') AS path FROM corpus)
+        SELECT path, coalesce(list_has_any(string_split(path, '/'), ['views', 'report']), false) AS excluded, count(*) AS symbols FROM p GROUP BY path""",
+}
