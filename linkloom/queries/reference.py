@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from linkloom.config import LEXICAL_V3, LEXICAL_V4, LEXICAL_V5, STOPWORDS, LexicalConfig
 from linkloom.functions import ids, text
 from linkloom.operators import evaluation, fusion, lexical, links, payload, review, semantic, snapshots, topn
-from linkloom.queries.general import _canonical, _requirement, _symbol, table
+from linkloom.queries.general import table
+from linkloom.sources import extractor
 
 
 def _req() -> Column:
@@ -385,6 +386,14 @@ def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(spark, sf_dir).groupBy("repositoryCommit", "kind").agg(F.count(F.lit(1)).alias("symbols"), F.countDistinct("relativePath").alias("files"))
 
 
+def extracted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of the source files among the documents; each document is a file of its own."""
+    files = table(spark, sf_dir, "documents").filter("source = 'source-code' and text is not null")
+    files = files.select(F.concat(F.lit("src/doc-"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.col("text").alias("content"))
+    found = extractor.extract_symbols(files, "documents")
+    return found.select("symbolId", "kind", "qualifiedName", "startLine", "endLine", "signature", "exported")
+
+
 def symbol_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir).select(ids.symbol_path(F.col("symbolId")).alias("path"))
     return rows.groupBy("path", F.coalesce(_excluded(F.col("path")), F.lit(False)).alias("excluded")).agg(F.count(F.lit(1)).alias("symbols"))
@@ -396,6 +405,6 @@ QUERIES = {
         token_counts, folded_terms, protected_stopwords, term_stats, field_lengths, bm25f_topk, bm25f_v4_topk, bm25f_v3_topk, span_containment, cosine_topk, embedding_texts, rrf_fusion,
         weighted_fusion, retrieval_metrics, config_comparison, config_pivot, proposal_metrics, band_counts, link_state, recorded_bands, review_statistics, review_queue, link_index, link_adjacency,
         unlinked_requirements, reconcile_links, resolved_links, stale_proposals, coverage_states, coverage_summary, drifted_links, suspected_renames, result_differences, payload_items, payload_audit,
-        verdict_failures, usage_totals, duplicate_ids, overload_ids, wiki_backlinks, wiki_resolution, requirement_sections, symbol_counts, symbol_paths,
+        verdict_failures, usage_totals, duplicate_ids, overload_ids, wiki_backlinks, wiki_resolution, requirement_sections, symbol_counts, symbol_paths, extracted_symbols,
     )
 }
