@@ -40,6 +40,14 @@ class DeltaTable:
         self.spark, self.root = spark, root
         self.keys, self.order, self.payload = list(keys), list(order), list(payload)
         self.batches = 0
+        while self._files().exists(self._hadoop_path(self._path("applied", self.batches))):
+            self.batches += 1  # a table that is opened again
+
+    def _hadoop_path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self):
+        return self._hadoop_path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _path(self, part: str, batch: int | None = None) -> str:
         return f"{self.root}/{part}" + (f"/batch={batch}" if batch is not None else "")
@@ -67,20 +75,22 @@ class DeltaTable:
             fresh = last
             where = [F.lit(None).cast("string").alias("__old_file"), F.lit(None).cast("bigint").alias("__old_position")]
         batch = self.batches
-        fresh.select(*self.keys, "__image.*", *where).write.parquet(self._path("data", batch))
+        # what a failed attempt left under this number is overwritten; readers know finished batches only
+        fresh.select(*self.keys, "__image.*", *where).write.mode("overwrite").parquet(self._path("data", batch))
         images = self.spark.read.parquet(self._path("data", batch))
-        images.select(*self.keys, *self.order, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__position")).write.parquet(self._path("index", batch))
+        images.select(*self.keys, *self.order, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__position")).write.mode("overwrite").parquet(self._path("index", batch))
         if batch:
             (
                 images.filter(F.col("__old_file").isNotNull())
                 .groupBy(F.col("__old_file").alias("file"), F.expr(f"__old_position div {BITMAP_BITS}").alias("block"))
                 .agg(F.expr(f"bitmap_construct_agg(__old_position % {BITMAP_BITS})").alias("bits"))
-                .write.parquet(self._path("deleted", batch))
+                .write.mode("overwrite").parquet(self._path("deleted", batch))
             )
+        self._files().mkdirs(self._hadoop_path(self._path("applied", batch)))
         self.batches += 1
 
     def read(self) -> DataFrame:
-        """The rows that exist now: keys, order and payload."""
+        """The rows that exist now: keys, order and payload. A table without a batch cannot be read."""
         files = [self._path("data", i) for i in range(self.batches)]
         rows = self.spark.read.parquet(*files).select(
             *self.keys, *self.order, *self.payload, "__deleted",
