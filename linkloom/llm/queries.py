@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import mix, pairs, residue, tokens
+from linkloom.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +21,23 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(_table(spark, sf_dir, "documents"))
+    return tokens.encode(spread(_table(spark, sf_dir, "documents")))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).uses().select("doc_id", "uses")
+    return mix.Mix(spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "mix_targets")).uses().select("doc_id", "uses")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).report()
+    return mix.Mix(spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "mix_targets")).report()
 
 
 def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).order()
+    return mix.Mix(spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "mix_targets")).order()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue_documents(_table(spark, sf_dir, "documents"))
+    return residue.residue_documents(spread(_table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found}
