@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: fixed values: the characters that count as white space
+BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def outer_trim(value: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end; only the ends are looked at."""
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def symbol_id(value: Column) -> Column:
     """Normal form of a symbol id: outer blanks removed, ``\\`` as ``/``, empty as null; letter case counts."""
-    text = F.translate(outer_trim(value), "\\", "/")
+    text = F.replace(outer_trim(value), F.lit("\\"), F.lit("/"))
     return F.when(text != "", text)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.config import LEXICAL_V5, LexicalConfig
 from linkloom.functions import text
+from linkloom.session import materialize, spread
 
 
 def field_texts(symbols: DataFrame, config: LexicalConfig = LEXICAL_V5) -> DataFrame:
@@ -75,8 +76,9 @@ def bm25f(queries: DataFrame, symbols: DataFrame, k: int = 10, config: LexicalCo
     ``queries`` has query and text, ``symbols`` doc and the columns of the symbol index. Only scores above zero
     count; ties are settled by doc in byte order. Queries without a term of the corpus give no rows.
     """
+    symbols = spread(symbols)
     stop = effective_stopwords(symbols, config)
-    rows = occurrences(symbols, stop, config)
+    rows = materialize(occurrences(symbols, stop, config), "terms")  # tokens are made once
     asked = queries.select("query", F.explode(_terms(F.col("text"), stop, config)).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     documents = symbols.count()
     averages = F.broadcast(field_lengths(rows))  # one row for each field
@@ -84,9 +86,10 @@ def bm25f(queries: DataFrame, symbols: DataFrame, k: int = 10, config: LexicalCo
     hits = rows.join(averages, "field").select("doc", (F.col("weight") / norm).alias("share"), F.explode("terms").alias("term"))
     hits = hits.join(asked.select("term").distinct(), "term", "left_semi")
     weights = hits.groupBy("doc", "term").agg(F.sum("share").alias("p"))
-    known = Window.partitionBy("term")
+    # a frequent term has as many postings as there are documents, so they are counted and joined, not windowed
+    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    postings = weights.withColumn("df", F.count(F.lit(1)).over(known)).select("doc", "term", (idf * F.col("p") * (config.k1 + 1) / (config.k1 + F.col("p"))).alias("part"))
+    postings = weights.join(df, "term").select("doc", "term", (idf * F.col("p") * (config.k1 + 1) / (config.k1 + F.col("p"))).alias("part"))
     scores = asked.join(postings, "term").groupBy("query", "doc").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
     priors = symbols.select("doc", _kind_prior(config).alias("prior"))
     if config.containment is not None:

@@ -12,6 +12,7 @@ from linkloom.config import LEXICAL_V3, LEXICAL_V4, LEXICAL_V5, STOPWORDS, Lexic
 from linkloom.functions import ids, text
 from linkloom.operators import evaluation, fusion, lexical, links, payload, review, semantic, snapshots, topn
 from linkloom.queries.general import table
+from linkloom.session import materialize, spread
 from linkloom.sources import extractor
 
 
@@ -112,7 +113,8 @@ def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25f(spark: SparkSession, sf_dir: str, config: LexicalConfig) -> DataFrame:
-    found = lexical.bm25f(_asked(spark, sf_dir), _corpus(spark, sf_dir), 10, config)
+    corpus = materialize(_corpus(spark, sf_dir), "corpus")
+    found = lexical.bm25f(_asked(spark, sf_dir), corpus, 10, config)
     return found.select(F.col("query").alias("requirementId"), "rank", "doc", F.round("score", 6).alias("score"))
 
 
@@ -152,7 +154,7 @@ def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     keys = ["requirementId", "repositoryCommit"]
-    ranked = topn.top_candidates(table(spark, sf_dir, "retrieval"), fusion.pool_size(5))
+    ranked = materialize(topn.top_candidates(table(spark, sf_dir, "retrieval"), fusion.pool_size(5)), "lists")
     first, second = (ranked.filter(F.col("configurationId") == c).select(*keys, F.col("symbolId").alias("item"), F.col("place").alias("rank")) for c in ("bm25f-v5", "semantic-v2"))
     if how == "rrf":
         merged = fusion.reciprocal_rank_fusion(first, second, keys, 5)
@@ -175,7 +177,7 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["configurationId", "requirementId", "repositoryCommit"]
-    lists = _lists(spark, sf_dir)
+    lists = materialize(_lists(spark, sf_dir), "lists")
     scope = lists.select(*keys).distinct()
     truth = _labels(spark, sf_dir).filter("relationship = 'implements'").select("requirementId", "repositoryCommit", F.col("symbolId").alias("item")).distinct()
     relevant = scope.join(truth, ["requirementId", "repositoryCommit"]).select(*keys, "item")
@@ -317,8 +319,8 @@ def payload_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = topn.top_candidates(table(spark, sf_dir, "retrieval"), 5).withColumnRenamed("place", "rank")
-    items = payload.payload_items(candidates, _corpus(spark, sf_dir), LIST, 3, strict=False)
+    candidates = materialize(topn.top_candidates(table(spark, sf_dir, "retrieval"), 5).withColumnRenamed("place", "rank"), "lists")
+    items = materialize(payload.payload_items(candidates, _corpus(spark, sf_dir), LIST, 3, strict=False), "payload")
     # judged against the two best of each list, so that the third counts as never retrieved
     found = payload.audit(items, candidates.filter("rank <= 2"), LIST, 2)
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
@@ -390,7 +392,7 @@ def extracted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of the source files among the documents; each document is a file of its own."""
     files = table(spark, sf_dir, "documents").filter("source = 'source-code' and text is not null")
     files = files.select(F.concat(F.lit("src/doc-"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.col("text").alias("content"))
-    found = extractor.extract_symbols(files, "documents")
+    found = extractor.extract_symbols(spread(files), "documents")
     return found.select("symbolId", "kind", "qualifiedName", "startLine", "endLine", "signature", "exported")
 
 
