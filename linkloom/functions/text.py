@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions.ids import outer_trim
+
 
 def tokens(value: Column) -> Column:
     """Words of identifiers and prose in lower case: paths, snake, kebab and camel case are split. Null gives none."""
@@ -51,7 +53,7 @@ def collapse(value: Column) -> Column:
 
 def non_empty(value: Column) -> Column:
     """Trimmed text, null where nothing is left."""
-    text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    text = outer_trim(value)
     return F.when(text != "", text)
 
 
@@ -69,14 +71,14 @@ def list_items(text: Column) -> Column:
 def wiki_links(text: Column) -> Column:
     """Targets of ``[[target]]`` and ``[[target|label]]``, embeds left out, in order of their places."""
     found = F.regexp_extract_all(text, F.lit(r"(?<!!)\[\[([^\]\n|]+)(?:\|[^\]\n]*)?\]\]"), 1)
-    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(found, lambda t: outer_trim(t)), lambda t: t != "")
 
 
 def strip_fence(text: Column) -> Column:
     """The inside of a Markdown code fence, or the trimmed text where it opens with none."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    trimmed = outer_trim(text)
     opened = F.regexp_replace(trimmed, r"^```[A-Za-z0-9_-]*\s*\n?", "")
-    return F.when(trimmed.startswith("```"), F.trim(F.regexp_replace(opened, r"```(?![\s\S]*```)[\s\S]*$", ""))).otherwise(trimmed)
+    return F.when(trimmed.startswith("```"), outer_trim(F.regexp_replace(opened, r"```(?![\s\S]*```)[\s\S]*$", ""))).otherwise(trimmed)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.config import DEFAULT_PRIORITY, PRIORITIES, STATUSES
 from linkloom.functions import text
@@ -25,7 +26,7 @@ def split_frontmatter(documents: DataFrame, column: str) -> DataFrame:
     return documents.withColumn("front", F.when(found, F.regexp_extract(column, _FRONT, 1))).withColumn("body", F.when(found, F.regexp_extract(column, _FRONT, 2)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _to_json(front: pd.Series) -> pd.Series:
     def one(value: str | None) -> str | None:
         if value is None:

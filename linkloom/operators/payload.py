@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.config import CLASSIFICATIONS, Budget
 from linkloom.functions import text
+from linkloom.functions.ids import outer_trim
 
 
 def payload_items(candidates: DataFrame, symbols: DataFrame, keys: list[str], k: int, budget: Budget = Budget(), strict: bool = True) -> DataFrame:
@@ -89,7 +90,7 @@ def verdicts(responses: DataFrame, candidates: DataFrame, keys: list[str]) -> tu
     read = entries.select(
         *keys, "pos", F.coalesce(F.schema_of_variant("e").startswith("OBJECT"), F.lit(False)).alias("object"),
         F.when(kind_of("symbolId") == "STRING", part("symbolId", "string")).alias("symbolId"), F.when(kind_of("classification") == "STRING", part("classification", "string")).alias("classification"),
-        F.when(number, part("confidence", "double")).alias("confidence"), F.when(kind_of("rationale") == "STRING", F.trim(part("rationale", "string"))).alias("rationale"),
+        F.when(number, part("confidence", "double")).alias("confidence"), F.when(kind_of("rationale") == "STRING", outer_trim(part("rationale", "string"))).alias("rationale"),
     )
     held = candidates.select(*keys, "symbolId", "rank").dropDuplicates([*keys, "symbolId"])
     nth = F.row_number().over(Window.partitionBy(*keys, "symbolId").orderBy("pos"))

@@ -84,11 +84,11 @@ def check_decisions(batch: DataFrame, proposals: DataFrame) -> DataFrame:
     """
     known = proposals.groupBy("requirementId", "symbolId").agg(F.max("classification").alias("classification"))
     rows = batch.join(known, ["requirementId", "symbolId"], "left")
-    target = F.coalesce(F.trim("redirectTo"), F.lit("")) != ""
+    target = F.coalesce(outer_trim(F.col("redirectTo")), F.lit("")) != ""
     kind = F.coalesce("kind", F.lit(""))
     problem = (
         F.when(~kind.isin("accept", "reject", "redirect"), "unknown-kind")
-        .when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "blank-reviewer")
+        .when(F.coalesce(outer_trim(F.col("reviewer")), F.lit("")) == "", "blank-reviewer")
         .when((kind == "redirect") & ~target, "redirect-without-target")
         .when((kind != "redirect") & target, "target-without-redirect")
         .when(F.col("classification").isNull(), "unmatched-proposal")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,10 @@ DOCUMENT = "path string, content string"
 
 
 def _texts(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
-    rows = reader.text(folder).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri"))
-    # the part of the address below the folder; blanks and the like are escaped in addresses
-    below = F.substring_index(F.expr("url_decode(replace(uri, '+', '%2B'))"), folder.rstrip("/") + "/", -1)
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
+    rows = found.select(F.col("value").alias("content"), F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("uri"))
+    # the part of the address below the folder; an address may have one or three slashes after its scheme
+    below = F.substring_index("uri", re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/", -1)
     return rows.select(below.alias("path"), "content")
 
 

@@ -17,7 +17,7 @@ def _scalar(text: str):
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
         return text[1:-1]
     if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in re.findall(r"\"[^\"]*\"|'[^']*'|[^,\[\]]+", text[1:-1]) if x.strip()]
+        return [_scalar(x) for x in re.findall(r"\s*(\"[^\"]*\"|'[^']*'|[^,\[\]]+)", text[1:-1]) if x.strip()]
     if text in ("", "~", "null"):
         return None
     if text in ("true", "false"):
