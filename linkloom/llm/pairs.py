@@ -50,8 +50,8 @@ _LEADING = regex.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\n]*(?:\n|\Z))*+")
 _HEAD_DOC = regex.compile(r"\s*+(?P<doc>/\*\*(?!/)[\s\S]*?\*/)")
 _MARKS = regex.compile(r"[\s/*]+")
 
-_LINE_START = regex.compile(r"^[\s*/]*(?:(?<=\s)|^|(?<=[*/]))", regex.MULTILINE)
-_BLOCK_TAG = regex.compile(r"(?:^|(?<=[\s*]))@[A-Za-z][\w-]*")
+#: at the start of a line, or after a sentence where the lines were joined
+_BLOCK_TAG = regex.compile(r"(?:^|(?<=[.!?:;)}]\s))@[A-Za-z][\w-]*")
 _INHERIT = regex.compile(r"\{?@inherit-?doc\b[^}\n]*\}?", regex.IGNORECASE)
 _WORK = regex.compile(r"(?:\b(?:TODO|FIXME|XXX|HACK|TBD|WIP)\b|(?<![\p{L}\p{N}])(?:todo|fixme|to do|hack|xxx|tbd|wip)\s*(?=:|$|\())[^\n]*", regex.MULTILINE)
 _WORK_START = regex.compile(r"^(?:to do|todo|fixme|tbd|wip|hack|xxx)\b\s*[.:!-]*\s*$", regex.IGNORECASE)

@@ -32,7 +32,7 @@ def test_functions_with_strings_comments_and_nesting():
         ("eslint-disable-next-line no-console -- the log is not ready", "f", True), ("The eslint-disable mark of the old module is honoured.", "f", False),
         ("const a = this.b.filter((x) => x);\nreturn a;", "f", True), ("Counts open tasks too.", "countTask", True), ("Counts open tasks too.", "list", False), ("Oldest wins, always.", "f", False),
         ("Review the verdict.", "reviewVerdict", True), ("Keeps a copy until then.\nTODO: drop the branch", "f", False), ("/** Keeps a copy. TODO: drop the open branch */", "f", False), ("* Runs in linear time.\n* @see other", "f", False),
-        ("Fristen ohne Datum gelten nie.", "f", False), ("@ts-expect-error", "f", True), ("#region helpers for many things", "f", True), ("n/a", None, True), ("this.a.open(b);", "f", True), ("FIXME", "f", True),
+        ("Fristen ohne Datum gelten nie.", "f", False), ("@ts-expect-error", "f", True), ("#region helpers for many things", "f", True), ("n/a", None, True), ("Reads the @since marks of old modules.", "f", False), ("/** Says it. @param a what it is @returns many words here */", "f", True), ("this.a.open(b);", "f", True), ("FIXME", "f", True),
     ],
 )
 def test_trivial(comment, name, trivial):
