@@ -91,6 +91,59 @@ def validation_report(parsed: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(twice).select("path", "id", part(F.lit(0)).alias("rule"), part(F.lit(1)).alias("field"), "level")
 
 
+def strict_requirements(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requirements with a difficulty, once for each id (the first path wins), and the rejected: path, id, rule.
+
+    Rules: invalid-document, missing-difficulty, duplicate-id.
+    """
+    difficulty = text.non_empty(F.try_variant_get("extra", "$.difficulty", "string"))
+    rows = parsed.withColumn("difficulty", difficulty)
+    fit = F.col("valid") & F.col("difficulty").isNotNull()
+    turn = F.row_number().over(Window.partitionBy("id", fit).orderBy("path"))
+    judged = rows.withColumn("rule", F.when(~F.col("valid"), "invalid-document").when(F.col("difficulty").isNull(), "missing-difficulty").when(turn > 1, "duplicate-id"))
+    return judged.filter("rule is null").drop("rule"), judged.filter("rule is not null").select("path", "id", "rule")
+
+
+def _with_links(content: str, links: list) -> str:
+    """``content`` with its ``links`` key replaced by ``links`` (dropped where there are none)."""
+    newline = "\r\n" if "\r\n" in content else "\n"
+    lines = content.replace("\r\n", "\n").split("\n")
+    end = lines.index("---", 1)
+    kept, inside = [], False
+    for line in lines[1:end]:
+        if inside and (line.startswith((" ", "\t", "-")) or not line.strip()):
+            continue
+        inside = line.split(":")[0].strip() == "links" and not line.startswith((" ", "\t"))
+        if not inside:
+            kept.append(line)
+    block = ["links:"] if links else []
+    for link in links:
+        for i, name in enumerate(("symbol", "reviewer", "timestamp", "commit")):
+            block.append(("  - " if i == 0 else "    ") + f"{name}: {json.dumps(link[name], ensure_ascii=False)}")
+    return newline.join(["---", *kept, *block, *lines[end:]])
+
+
+def write_links(documents: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents (path, content) whose links differ from ``links``, with their new contents.
+
+    ``links`` has id, symbol, reviewer, timestamp and commit and replaces what the documents record; it is written
+    sorted by symbol, nulls as empty. Documents without an id or frontmatter stay as they are.
+    """
+    empty = F.lit("")
+    part = F.struct(*[F.coalesce(c, empty).alias(c) for c in ("symbol", "reviewer", "timestamp", "commit")])
+    wanted = links.filter("id is not null and symbol is not null").groupBy("id").agg(F.array_sort(F.collect_set(part)).alias("wanted"))
+    now = parse_documents(documents).filter("valid").select("path", "id", F.array_sort("links").alias("now"))
+    nothing = F.array().cast("array<struct<symbol:string,reviewer:string,timestamp:string,commit:string>>")
+    changed = now.join(wanted, "id", "left").withColumn("wanted", F.coalesce("wanted", nothing)).filter("not (now <=> wanted)")
+    rows = documents.withColumn("path", F.translate("path", "\\", "/")).join(changed.select("path", "wanted"), "path")
+
+    @F.pandas_udf(T.StringType())
+    def rewritten(content: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([_with_links(c, list(w)) for c, w in zip(content, wanted)])
+
+    return rows.select("path", rewritten("content", "wanted").alias("content"))
+
+
 def resolve_wiki_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     """doc, target, path: where a wiki link leads, null for nowhere.
 

@@ -121,6 +121,20 @@ def test_documents(spark, tmp_path):
     assert rows(vault) == [("specs/sub dir/x+1.md", "text\nmore")] and missing == ["gone"]
 
 
+def test_links_are_written_back_and_strict_loading(spark):
+    schema = "path string, content string"
+    docs = spark.createDataFrame([("a.md", GOOD), ("b.md", GOOD.replace("REQ-1", "REQ-2").replace("owner: me", "difficulty: high-overlap")), ("c.md", GOOD.replace("REQ-1", "REQ-2").replace("owner: me", "difficulty: x")), ("bad.md", "x")], schema)
+    links = spark.createDataFrame([("REQ-1", "s", "r", "t", "c"), ("REQ-2", "n: #1", "r", None, "c"), ("REQ-2", "a", "r", "t", "c")], "id string, symbol string, reviewer string, timestamp string, commit string")
+    changed = documents.write_links(docs, links)
+    assert {r.path for r in changed.collect()} == {"b.md", "c.md"}
+    again = documents.parse_documents(changed)
+    found = {r.path: r for r in again.collect()}
+    assert [x.symbol for x in found["b.md"].links] == ["a"] and found["b.md"].statement == "Do it." and "difficulty: high-overlap" in {r.path: r.content for r in changed.collect()}["b.md"]
+    kept, rejected = documents.strict_requirements(documents.parse_documents(docs))
+    assert [(r.path, r.difficulty) for r in kept.collect()] == [("b.md", "high-overlap")]
+    assert rows(rejected) == [("a.md", "REQ-1", "missing-difficulty"), ("bad.md", None, "invalid-document"), ("c.md", "REQ-2", "duplicate-id")]
+
+
 def test_frontmatter_without_a_yaml_library(monkeypatch):
     text = "id: 'a b'\nn: 3\nflag: true\nlist:\n- x\n- \"y\"\nmaps:\n  - k: 1\n    v: two words\n  - k: 2\nempty:\ninline: [a, 'b, c']\n# note\n"
     expected = {"id": "a b", "n": 3, "flag": True, "list": ["x", "y"], "maps": [{"k": 1, "v": "two words"}, {"k": 2}], "empty": None, "inline": ["a", "b, c"]}
