@@ -55,10 +55,13 @@ class DeltaTable:
     def _order(self, prefix: str = "") -> Column:
         return F.struct(*[F.col(prefix + c) for c in self.order])
 
-    def _index(self) -> DataFrame:
-        """The newest index entry of every key: superseded entries lose by their order."""
+    def _located(self, keys: DataFrame) -> DataFrame:
+        """The newest index entry of each of ``keys``: superseded entries lose by their order.
+
+        Entries of other keys are dropped before the aggregation; with a small batch that is a broadcast semi join.
+        """
         parts = [self._path("index", i) for i in range(self.batches)]
-        entries = self.spark.read.parquet(*parts)
+        entries = self.spark.read.parquet(*parts).join(keys, self.keys, "left_semi")
         newest = F.max_by(F.struct("__file", "__position", *self.order), self._order()).alias("__live")
         return entries.groupBy(*self.keys).agg(newest)
 
@@ -67,7 +70,7 @@ class DeltaTable:
         image = F.struct(*self.order, "__deleted", *self.payload)
         last = changes.groupBy(*self.keys).agg(F.max(image).alias("__image"))
         if self.batches:
-            found = last.join(self._index(), self.keys, "left")
+            found = last.join(self._located(last.select(*self.keys)), self.keys, "left")
             stored = F.struct(*[F.col(f"__live.{c}") for c in self.order])
             fresh = found.filter(F.col("__live").isNull() | (F.struct(*[F.col(f"__image.{c}") for c in self.order]) > stored))
             where = [F.col("__live.__file").alias("__old_file"), F.col("__live.__position").alias("__old_position")]
