@@ -75,14 +75,15 @@ def orphans(references: DataFrame, parents: DataFrame, keys: list[str], probe_ro
     refs = _ranged(references.dropna(subset=keys), keys, bits)
     # one number for each range, of which there are as many as arrays
     loads = {r["__range"]: r["count"] for r in refs.groupBy("__range").count().collect()}
-    limit = max(probe_rows, sum(loads.values()) // max(1, default_partitions(spark) * 4))
-    splits = {k: math.ceil(n / limit) for k, n in loads.items() if n > limit}
-    if splits:
-        table = F.create_map(*[F.lit(x) for pair in splits.items() for x in pair])
-        parts = F.coalesce(table[F.col("__range")], F.lit(1))
+    # all ranges are cut alike so that a part holds about probe_rows; only such as hold far more get a number of their own
+    base = max(1, math.ceil(sum(loads.values()) / max(1, len(loads)) / probe_rows))
+    splits = {k: math.ceil(n / probe_rows) for k, n in loads.items() if n > 2 * base * probe_rows}
+    if splits or base > 1:
+        known = F.create_map(*[F.lit(x) for pair in splits.items() for x in pair]) if splits else F.lit(None).cast("map<int,int>")
+        parts = F.coalesce(known[F.col("__range")], F.lit(base))
         crowded = F.col("__range").isin(list(splits))
         # equal references of a crowded range fall together here, the others are spread by their whole row
-        refs = refs.filter(~crowded).unionByName(refs.filter(crowded).distinct())
+        refs = refs.filter(~crowded).unionByName(refs.filter(crowded).distinct()) if splits else refs
         refs = refs.withColumn("__part", F.pmod(F.xxhash64(*columns), parts).cast("int"))
         arrays = arrays.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
     else:

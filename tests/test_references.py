@@ -26,6 +26,13 @@ def test_against_brute_force_with_a_hot_key(spark):
         assert {tuple(x) for x in orphans(r, p, ["commit", "symbolId"], limit).collect()} == expected
 
 
+def test_even_load_is_cut_alike(spark):
+    p = spark.createDataFrame([(f"c{i}", f"s{i}") for i in range(0, 3000, 2)], "commit string, symbolId string")
+    r = spark.createDataFrame([(f"c{i}", f"s{i}", j) for i in range(3000) for j in range(2)], "commit string, symbolId string, n int")
+    found = orphans(r, p, ["commit", "symbolId"], 90).collect()
+    assert len(found) == 3000 and all(int(x.symbolId[1:]) % 2 for x in found)
+
+
 def test_empty_sides(spark):
     p = spark.createDataFrame([("c", "s")], "commit string, symbolId string")
     r = spark.createDataFrame([("c", "t", 1)], "commit string, symbolId string, n int")
