@@ -122,8 +122,7 @@ def simhash_tables(units: DataFrame) -> DataFrame:
 def near_units(frontier: DataFrame, units: DataFrame) -> DataFrame:
     """Units of ``units`` linked to one of ``frontier`` (both rows of :func:`simhash_tables`): unit, normal.
 
-    Of the frontier's units in one bucket only the nearest by Hamming distance is kept for a unit and table, while
-    the join runs; its text decides.
+    Every pair that shares a key in any table and passes the distance and size filters is compared by text, once.
     """
     keyed = units.select("unit", F.col("high").alias("h"), F.col("low").alias("l"), F.col("shingles").alias("n"), F.posexplode("bands").alias("t", "key"))
     asked = frontier.select(F.col("unit").alias("from"), "high", "low", "shingles", F.posexplode("bands").alias("t", "key"))
@@ -131,7 +130,7 @@ def near_units(frontier: DataFrame, units: DataFrame) -> DataFrame:
     # sets of so different sizes cannot be similar enough
     sizes = (F.col("n") >= F.col("shingles") * SIMILARITY) & (F.col("shingles") >= F.col("n") * SIMILARITY)
     met = keyed.join(asked, ["t", "key"]).withColumn("d", distance).filter((F.col("d") <= HAMMING) & sizes & (F.col("unit") != F.col("from")))
-    pairs = met.groupBy("unit", "t").agg(F.min_by("from", F.struct("d", "from")).alias("from")).select("unit", "from").distinct()
+    pairs = met.select("unit", "from").distinct()
     texts = pairs.join(units.select("unit", "normal"), "unit").join(frontier.select(F.col("unit").alias("from"), F.col("normal").alias("other")), "from")
 
     @F.pandas_udf("boolean")

@@ -68,6 +68,15 @@ def test_near_duplicates_meet_in_the_tables(spark):
     assert found <= expected and len(found) >= 0.9 * len(expected) > 100
 
 
+def test_every_colliding_unit_is_compared(spark):
+    """A nearer labelled unit that fails the text check hides no farther one of the same bucket that passes it."""
+    normal = " ".join(f"w{i}" for i in range(20))
+    near, far = normal + " x", "other " + " ".join(f"v{i}" for i in range(19))
+    rows = [(1, normal, False, 16, 0, 0, [7]), (2, far, True, 16, 0, 1, [7]), (3, near, True, 17, 0, 7, [7])]
+    df = spark.createDataFrame(rows, "unit bigint, normal string, trusted boolean, shingles int, high bigint, low bigint, bands array<int>")
+    assert [r.unit for r in residue.near_units(df.filter("trusted"), df.filter("not trusted")).collect()] == [1]
+
+
 def test_labels_spread_over_a_chain_and_copies_come_out(spark):
     rng = random.Random(6)
     words = [f"v{i}" for i in range(300)]
