@@ -3,23 +3,23 @@
 1. Texts are cut into units (titles, field values, paragraphs, list items); a unit is known by the words of its normal
    form, so that copies fall together. Rules label the units (and places inside of units) that can be trusted to be
    residue, with no regard to other documents.
-2. Near-duplicates of units are searched in SimHash tables: every table keys the units by BAND_BITS of the 128 bits of
-   their fingerprints, and units that share a key in any of the BANDS tables are compared, first by Hamming distance,
-   then by the Jaccard similarity of their sets of five-word shingles.
+2. Near-duplicates of units are found by the prefixes of their sets of five-word shingles, sorted by hash: two sets with
+   a Jaccard similarity of SIMILARITY must share a shingle among the first of each, so many that the rest alone cannot
+   reach it. Units that share such a key are compared by the places of the key in both sets, then by the sets.
 3. The trusted labels spread over the connected components of these links, step by step from labelled units to their
    neighbours, until no unit is new. Only links that start at residue are needed for that, so the table of labelled
    units is the query side of each step and all units are the other.
 4. A document with a unit of such a component comes out.
 
-Two units with a similarity of SIMILARITY share a key with a probability of about 0.94, with one of 0.9 of about
-0.999; each step and each further member of a component adds another chance.
+No pair of units with a similarity of SIMILARITY is lost. A unit of n shingles has about n / 5 keys, so the keys grow
+with the text, whatever the number of units.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -29,16 +29,13 @@ from pyspark.sql import functions as F
 from linkloom.llm.residue_rules import normal_form, units_of
 from linkloom.session import materialize
 
-#: words of a shingle, least Jaccard similarity, greatest Hamming distance of fingerprints
-SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 36
-#: fingerprint bits, tables, bits of a table's key
-BITS, BANDS, BAND_BITS = 128, 26, 14
+#: words of a shingle, least Jaccard similarity
+SHINGLE, SIMILARITY = 5, 0.8
+#: what rounding may take from a product with SIMILARITY; it only admits more candidates
+ROUNDING = 1e-9
 #: a set of fewer shingles has no near-duplicate but itself: 3 of 4 is less than 0.8
 LEAST_SHINGLES = 4
 
-_POSITIONS = np.stack([np.random.default_rng(1000 + t).permutation(BITS)[:BAND_BITS] for t in range(BANDS)])
-_WEIGHTS = (1 << np.arange(BAND_BITS)).astype(np.int64)
-
 
 def shingles(normal: str) -> list[str]:
     """The distinct runs of five words; a text of fewer words is one shingle."""
@@ -48,10 +45,9 @@ def shingles(normal: str) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)))
 
 
-def fingerprint(parts: list[str]) -> np.ndarray:
-    """128 bits: each the majority over the hashes of the shingles."""
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in parts), dtype=np.uint8).reshape(len(parts), BITS // 8)
-    return (np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64) * 2 > len(parts)).astype(np.uint8)
+def prefix(parts: list[str]) -> list[int]:
+    """The least hashes of a set of shingles, of which every similar set has one among its own."""
+    return sorted(map(_key, parts))[: len(parts) - math.ceil(len(parts) * SIMILARITY - ROUNDING) + 1]
 
 
 def jaccard(a: str, b: str) -> float:
@@ -95,42 +91,39 @@ def text_units(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, unit bigint, normal string, trusted boolean")
 
 
-def simhash_tables(units: DataFrame) -> DataFrame:
-    """unit, normal, trusted, shingles (their number), high, low (the fingerprint), bands (a key for each table).
+def prefix_tables(units: DataFrame) -> DataFrame:
+    """unit, normal, trusted, shingles (their number), bands (the keys: :func:`prefix` of the shingles).
 
     Units that cannot have a near-duplicate have no keys.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            size, high, low, bands = [], [], [], []
+            size, bands = [], []
             for normal in batch["normal"]:
                 parts = [] if normal.startswith("place: ") else shingles(normal)
                 size.append(len(parts))
-                if len(parts) < LEAST_SHINGLES:
-                    high.append(0), low.append(0), bands.append([])
-                    continue
-                bits = fingerprint(parts)
-                words = np.packbits(bits).view(">i8")
-                high.append(int(words[0])), low.append(int(words[1]))
-                bands.append((bits[_POSITIONS] @ _WEIGHTS).tolist())
-            yield batch.assign(shingles=size, high=high, low=low, bands=bands)
+                bands.append(prefix(parts) if len(parts) >= LEAST_SHINGLES else [])
+            yield batch.assign(shingles=size, bands=bands)
+
+    return units.mapInPandas(run, "unit bigint, normal string, trusted boolean, shingles int, bands array<bigint>")
+
 
-    return units.mapInPandas(run, "unit bigint, normal string, trusted boolean, shingles int, high bigint, low bigint, bands array<int>")
+#: the name of the tables when they were keyed by SimHash
+simhash_tables = prefix_tables
 
 
 def near_units(frontier: DataFrame, units: DataFrame) -> DataFrame:
-    """Units of ``units`` linked to one of ``frontier`` (both rows of :func:`simhash_tables`): unit, normal.
+    """Units of ``units`` linked to one of ``frontier`` (both rows of :func:`prefix_tables`): unit, normal.
 
-    Every pair that shares a key in any table and passes the distance and size filters is compared by text, once.
+    Every pair that shares a key and may be similar enough is compared by text, once. Behind the first shared key of a
+    pair both sets must hold enough shingles; what shares only later keys has met at the first.
     """
-    keyed = units.select("unit", F.col("high").alias("h"), F.col("low").alias("l"), F.col("shingles").alias("n"), F.posexplode("bands").alias("t", "key"))
-    asked = frontier.select(F.col("unit").alias("from"), "high", "low", "shingles", F.posexplode("bands").alias("t", "key"))
-    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("high"))) + F.bit_count(F.col("l").bitwiseXOR(F.col("low")))
-    # sets of so different sizes cannot be similar enough
-    sizes = (F.col("n") >= F.col("shingles") * SIMILARITY) & (F.col("shingles") >= F.col("n") * SIMILARITY)
-    met = keyed.join(asked, ["t", "key"]).withColumn("d", distance).filter((F.col("d") <= HAMMING) & sizes & (F.col("unit") != F.col("from")))
-    pairs = met.select("unit", "from").distinct()
+    keyed = units.select("unit", F.col("shingles").alias("n"), F.posexplode("bands").alias("i", "key"))
+    asked = frontier.select(F.col("unit").alias("from"), "shingles", F.posexplode("bands").alias("j", "key"))
+    shared = (F.col("n") + F.col("shingles")) * (SIMILARITY / (1 + SIMILARITY)) - ROUNDING
+    enough = F.least(F.col("n") - F.col("i"), F.col("shingles") - F.col("j")) >= shared
+    pairs = keyed.join(asked, "key").filter(enough & (F.col("unit") != F.col("from"))).select("unit", "from").distinct()
     texts = pairs.join(units.select("unit", "normal"), "unit").join(frontier.select(F.col("unit").alias("from"), F.col("normal").alias("other")), "from")
 
     @F.pandas_udf("boolean")
@@ -143,7 +136,7 @@ def near_units(frontier: DataFrame, units: DataFrame) -> DataFrame:
 def residue_units(found: DataFrame) -> DataFrame:
     """unit of every unit in a component with trusted residue; ``found`` are rows of :func:`text_units`."""
     once = found.groupBy("unit").agg(F.first("normal").alias("normal"), F.max("trusted").alias("trusted"))
-    tables = materialize(simhash_tables(once), "simhash")
+    tables = materialize(prefix_tables(once), "prefixes")
     reached = tables.filter("trusted").select("unit")
     frontier = tables.filter(F.col("trusted") & (F.size("bands") > 0))
     rest = tables.filter(~F.col("trusted") & (F.size("bands") > 0))

@@ -77,6 +77,23 @@ def test_every_colliding_unit_is_compared(spark):
     assert [r.unit for r in residue.near_units(df.filter("trusted"), df.filter("not trusted")).collect()] == [1]
 
 
+def test_short_units_at_the_least_similarity_meet(spark):
+    """Units of 8 to 25 words: all pairs of exactly 0.8 are found, none below it."""
+    rng = random.Random(7)
+    rows, expected = [], set()
+    for i in range(1600):
+        k, pair = i % 4 + 1, f"u{i}x"
+        base = [f"{pair}{rng.randrange(10**6)}" for _ in range(4 * k + 4)]
+        near = base + [f"{pair}e{j}" for j in range(k + i // 4 % 2)]  # 4k of 5k shingles, or of 5k + 1
+        a, b = " ".join(base), " ".join(near)
+        assert (residue.jaccard(a, b) == 0.8) == (len(near) == 5 * k + 4)
+        rows += [(residue._key(a), a, True), (residue._key(b), b, False)]
+        expected |= {residue._key(b)} if len(near) == 5 * k + 4 else set()
+    tables = residue.simhash_tables(spark.createDataFrame(rows, "unit bigint, normal string, trusted boolean")).cache()
+    found = {r.unit for r in residue.near_units(tables.filter("trusted"), tables.filter("not trusted")).collect()}
+    assert found == expected
+
+
 def test_labels_spread_over_a_chain_and_copies_come_out(spark):
     rng = random.Random(6)
     words = [f"v{i}" for i in range(300)]
