@@ -44,6 +44,23 @@ def strata(difficulty: Column) -> Column:
     return F.array_compact(F.array(F.lit("overall"), F.when(difficulty != "", difficulty)))
 
 
+#: slices over label passes: the passes whose labels count, and the names of the slices over all requirements
+LABEL_PASSES = {"independent": ("independent",), "both": ("independent", "candidate-review")}
+WHOLE_SLICES = {"independent": ("overall", "independent-only"), "both": ("independent-plus-candidate-review",)}
+
+
+def label_slices(label_pass: Column) -> Column:
+    """The keys of LABEL_PASSES for which a label counts; none for an unknown or null pass."""
+    name = F.replace(F.lower(F.trim(label_pass)), F.lit("_"), F.lit("-"))
+    return F.array_compact(F.array(*[F.when(name.isin(*passes), F.lit(k)) for k, passes in LABEL_PASSES.items()]))
+
+
+def pass_strata(labels: Column, difficulty: Column) -> Column:
+    """The slices of A12 that a requirement is in under ``labels`` (a key of LABEL_PASSES); difficulties are independent-only."""
+    independent = F.array_compact(F.array(*map(F.lit, WHOLE_SLICES["independent"]), F.when(difficulty != "", difficulty)))
+    return F.when(labels == "independent", independent).otherwise(F.array(*map(F.lit, WHOLE_SLICES["both"])))
+
+
 def prediction_metrics(predicted: DataFrame, relevant: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Distinct pairs: predicted, relevant, true_positives, precision, recall, f1 by ``by``; empty denominators give 0."""
     p = predicted.select(*by, *keys).distinct().withColumn("p", F.lit(1))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.ids import requirement_id, symbol_id
+from linkloom.session import materialize
 
 #: a group with more items than this is cut into parts; at most HOT_GROUPS groups, the largest ones
 HOT_ITEMS, HOT_GROUPS, HOT_PARTS = 50_000, 1_000, 32
@@ -87,6 +88,38 @@ def hot_groups(lists: DataFrame, group: list[str], size: Column, above: int) ->
     return [r["g"] for r in counts.filter(F.col("n") > above).orderBy(F.desc("n"), "g").limit(HOT_GROUPS).collect()]
 
 
+#: what names a list
+LIST = ["requirementId", "configurationId", "repositoryCommit"]
+
+
+def _lists(retrieval: DataFrame) -> DataFrame:
+    lists = retrieval.select(requirement_id(F.col("requirementId")).alias("requirementId"), "configurationId", "repositoryCommit", "candidates")
+    return lists.filter(F.col("requirementId").isNotNull() & F.col("configurationId").isNotNull() & F.col("repositoryCommit").isNotNull() & (F.size("candidates") > 0))
+
+
+def _items(lists: DataFrame, kept: list[str]) -> DataFrame:
+    rows = lists.select(*kept, F.explode("candidates").alias("c"))
+    rows = rows.select(*kept, F.col("c.rank").alias("rank"), symbol_id(F.col("c.symbolId")).alias("symbolId"), F.col("c.score").alias("score"))
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
+    # -0.0 and 0.0 are one score
+    return rows.filter(F.col("symbolId").isNotNull() & finite).withColumn("score", F.col("score") + F.lit(0.0))
+
+
+def whole_places(retrieval: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The places of the symbols of ``wanted`` (LIST, symbolId) in their whole lists, as :func:`top_candidates` counts.
+
+    A place is one more than the number of better symbols, so no list has to be sorted or held by one task. Symbols
+    that are not in their list have no row.
+    """
+    wanted = wanted.select(*LIST, "symbolId").distinct()
+    lists = _lists(retrieval).join(wanted.select(*LIST).distinct(), LIST, "left_semi")
+    order = F.struct(-F.col("score"), F.coalesce(F.col("rank").cast("bigint"), F.lit(1 << 31)), F.col("symbolId"))
+    best = materialize(_items(lists, LIST).groupBy(*LIST, "symbolId").agg(F.min(order).alias("order")), "entries")
+    asked = best.join(wanted, [*LIST, "symbolId"], "left_semi").withColumnRenamed("order", "own")
+    met = asked.join(best.select(*LIST, "order"), LIST)
+    return met.groupBy(*LIST, "symbolId").agg((F.count(F.when(F.col("order") < F.col("own"), 1)) + 1).alias("place"))
+
+
 def top_candidates(retrieval: DataFrame, n: int = 5, hot_items: int = HOT_ITEMS) -> DataFrame:
     """The ``n`` best distinct symbols of each list: requirementId, configurationId, repositoryCommit, place, symbolId.
 
@@ -95,19 +128,13 @@ def top_candidates(retrieval: DataFrame, n: int = 5, hot_items: int = HOT_ITEMS)
     score, lower rank (null last), symbolId in byte order; a symbol stands once, with its best entry. Repeated
     pieces change nothing; lists without a candidate that counts give no rows.
     """
-    group = ["requirementId", "configurationId", "repositoryCommit"]
-    lists = retrieval.select(requirement_id(F.col("requirementId")).alias("requirementId"), "configurationId", "repositoryCommit", "candidates")
-    lists = lists.filter(F.col("requirementId").isNotNull() & F.col("configurationId").isNotNull() & F.col("repositoryCommit").isNotNull() & (F.size("candidates") > 0))
+    group, lists = LIST, _lists(retrieval)
     hot = hot_groups(lists, group, F.size("candidates.rank"), hot_items)
     order = [F.desc("score"), F.asc_nulls_last("rank"), F.asc("symbolId")]
     output = [*group, "place", "symbolId"]
 
     def items(df: DataFrame, *more: str) -> DataFrame:
-        rows = df.select(*group, *more, F.explode("candidates").alias("c"))
-        rows = rows.select(*group, *more, F.col("c.rank").alias("rank"), symbol_id(F.col("c.symbolId")).alias("symbolId"), F.col("c.score").alias("score"))
-        finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
-        # -0.0 and 0.0 are one score
-        return rows.filter(F.col("symbolId").isNotNull() & finite).withColumn("score", F.col("score") + F.lit(0.0))
+        return _items(df, [*group, *more])
 
     def whole(df: DataFrame) -> DataFrame:
         return _sorted_first(items(df.repartition(*group)), group, order, "symbolId", n, [], output)

@@ -195,12 +195,54 @@ def config_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare(_metrics(spark, sf_dir), "configurationId", "stratum", "recall_10")
 
 
-def config_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pivoted(metrics: DataFrame) -> DataFrame:
     names = ["bm25f-v5", "hybrid-rrf-v1", "semantic-v2"]
-    wide = _metrics(spark, sf_dir).groupBy("stratum").pivot("configurationId", names).agg(F.first("mrr"))
+    wide = metrics.groupBy("stratum").pivot("configurationId", names).agg(F.first("mrr"))
     return wide.select("stratum", *[F.col(f"`{n}`").alias(n.replace("-", "_")) for n in names])
 
 
+def config_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pivoted(_metrics(spark, sf_dir))
+
+
+def _whole_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 to A12 over whole lists and all requirements.
+
+    A run is a configuration at a commit of which any list was delivered, also an empty one. Every requirement counts in
+    every run: labelled ones without a list with 0, those without a label as unscored.
+    """
+    keys = ["configurationId", "requirementId", "repositoryCommit"]
+    retrieval = table(spark, sf_dir, "retrieval")
+    runs = retrieval.select("configurationId", "repositoryCommit").dropna().distinct()
+    known = _requirements(spark, sf_dir).select("requirementId", "difficulty")
+    truth = _labels(spark, sf_dir).filter("relationship = 'implements'").withColumn("labels", F.explode(evaluation.label_slices(F.col("labelPass"))))
+    truth = truth.select("requirementId", "repositoryCommit", "labels", F.col("symbolId").alias("item")).distinct().join(known, "requirementId", "left_semi")
+    relevant = materialize(truth.join(runs, "repositoryCommit").select(*keys, "labels", "item"), "relevant")
+    places = topn.whole_places(retrieval, relevant.withColumnRenamed("item", "symbolId"))
+    found = relevant.join(places.withColumnRenamed("symbolId", "item").withColumnRenamed("place", "rank"), [*keys, "item"])
+    items = evaluation.scored_items(found, relevant, relevant, [*keys, "labels"])
+    sliced = items.join(known, "requirementId").withColumn("stratum", F.explode(evaluation.pass_strata(F.col("labels"), F.col("difficulty"))))
+    metrics = evaluation.averaged(sliced, ["configurationId", "stratum"]).drop("unscored")
+    labels = F.explode(F.array(*map(F.lit, evaluation.LABEL_PASSES)))
+    sizes = known.withColumn("labels", labels).select(F.explode(evaluation.pass_strata(F.col("labels"), F.col("difficulty"))).alias("stratum")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    # a handful of configurations by a handful of slices
+    whole = runs.groupBy("configurationId").agg(F.count(F.lit(1)).alias("runs")).crossJoin(sizes)
+    rows = whole.join(metrics, ["configurationId", "stratum"], "left").fillna(0)
+    return rows.select("configurationId", "stratum", "scored", (F.col("n") * F.col("runs") - F.col("scored")).alias("unscored"), *metrics.columns[3:])
+
+
+def retrieval_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_metrics(spark, sf_dir)
+
+
+def config_comparison_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.compare(_whole_metrics(spark, sf_dir), "configurationId", "stratum", "recall_10")
+
+
+def config_pivot_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pivoted(_whole_metrics(spark, sf_dir))
+
+
 def proposal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = review.latest_decisions(_log(spark, sf_dir)).withColumn("band", review.band(F.col("modelConfidence"), F.col("modelClassification")))
     known = _requirements(spark, sf_dir).select("requirementId", F.explode(evaluation.strata(F.col("difficulty"))).alias("stratum"))
@@ -405,7 +447,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_counts, folded_terms, protected_stopwords, term_stats, field_lengths, bm25f_topk, bm25f_v4_topk, bm25f_v3_topk, span_containment, cosine_topk, embedding_texts, rrf_fusion,
-        weighted_fusion, retrieval_metrics, config_comparison, config_pivot, proposal_metrics, band_counts, link_state, recorded_bands, review_statistics, review_queue, link_index, link_adjacency,
+        weighted_fusion, retrieval_metrics, config_comparison, config_pivot, retrieval_metrics_whole, config_comparison_whole, config_pivot_whole, proposal_metrics, band_counts, link_state, recorded_bands, review_statistics, review_queue, link_index, link_adjacency,
         unlinked_requirements, reconcile_links, resolved_links, stale_proposals, coverage_states, coverage_summary, drifted_links, suspected_renames, result_differences, payload_items, payload_audit,
         verdict_failures, usage_totals, duplicate_ids, overload_ids, wiki_backlinks, wiki_resolution, requirement_sections, symbol_counts, symbol_paths, extracted_symbols,
     )

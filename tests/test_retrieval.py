@@ -178,3 +178,27 @@ def test_runs_and_sweep(spark):
     relevant = spark.createDataFrame([("r1", "s0"), ("r2", "s1")], "requirementId string, item string")
     metrics, skipped = runs.sweep([{"mode": "lexical"}, {"mode": "semantic"}], queries, symbols, relevant, 5)
     assert metrics.count() == 1 and "semantic" in skipped
+
+
+def test_whole_metrics_rank_whole_lists_of_all_requirements(spark, tmp_path):
+    from linkloom.queries import reference
+
+    sym = lambda i: f"ts:src/a.ts#f{i:02d}:function"
+    listed = lambda ids: [(n + 1, sym(i), 100.0 - n) for n, i in enumerate(ids)]
+    reqs = [("REQ-A-0001", "a", "s", ["x"], "high-overlap"), ("REQ-A-0002", "b", "s", ["x"], "high-overlap"), ("REQ-A-0003", "c", "s", ["x"], None), ("REQ-A-0004", "d", "s", ["x"], None)]
+    spark.createDataFrame(reqs, "id string, title string, statement string, acceptance_criteria array<string>, difficulty string").write.parquet(f"{tmp_path}/requirements.parquet")
+    # the only independent label of 1 stands at place 12 (two pieces, one symbol twice); 2 is labelled and has no list; 3 only by review; 4 has no label
+    rows = [("REQ-A-0001", "bm25f-v5", "c1", listed(range(1, 8))), ("REQ-A-0001", "bm25f-v5", "c1", [(None, sym(i), 50.0 - i) for i in [7, *range(8, 14)]]), ("REQ-A-0003", "bm25f-v5", "c1", listed([1, 2])), ("REQ-A-0004", "semantic-v2", "c1", [])]
+    spark.createDataFrame(rows, "requirementId string, configurationId string, repositoryCommit string, candidates array<struct<rank int, symbolId string, score double>>").write.parquet(f"{tmp_path}/retrieval.parquet")
+    labels = [("REQ-A-0001", sym(12), "independent"), ("REQ-A-0001", sym(1), "candidate-review"), ("REQ-A-0002", sym(5), "independent"), ("REQ-A-0003", sym(2), "candidate-review"), ("REQ-A-0004", sym(2), None)]
+    spark.createDataFrame([(*x, "implements", "c1") for x in labels], "requirementId string, symbolId string, labelPass string, relationship string, repositoryCommit string").write.parquet(f"{tmp_path}/labeled_links.parquet")
+    found = {(r.configurationId, r.stratum): (r.scored, r.unscored, r.mrr, r.recall_10, r.hit_1) for r in reference.retrieval_metrics_whole(spark, str(tmp_path)).collect()}
+    single = (2, 2, round(1 / 24, 9), 0.0, 0.0)
+    assert found == {
+        ("bm25f-v5", "overall"): single, ("bm25f-v5", "independent-only"): single, ("bm25f-v5", "high-overlap"): (2, 0, *single[2:]),
+        ("bm25f-v5", "independent-plus-candidate-review"): (3, 1, 0.5, 0.5, round(100 / 3, 7)),
+        ("semantic-v2", "overall"): (2, 2, 0.0, 0.0, 0.0), ("semantic-v2", "independent-only"): (2, 2, 0.0, 0.0, 0.0), ("semantic-v2", "high-overlap"): (2, 0, 0.0, 0.0, 0.0),
+        ("semantic-v2", "independent-plus-candidate-review"): (3, 1, 0.0, 0.0, 0.0),
+    }
+    assert {r.stratum: r.best_by for r in reference.config_comparison_whole(spark, str(tmp_path)).collect()}["independent-plus-candidate-review"] == "bm25f-v5"
+    assert {r.stratum: r.bm25f_v5 for r in reference.config_pivot_whole(spark, str(tmp_path)).collect()}["overall"] == single[2]
