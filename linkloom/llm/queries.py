@@ -1,10 +1,11 @@
-"""Queries of the text problems; none of them can be said in SQL."""
+"""Queries of the problems of this package; only the top-N query can be said in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import mix, pairs, residue, tokens
+from linkloom.llm import mix, pairs, residue, tokens, topn
+from linkloom.queries.general import _requirement, _symbol
 from linkloom.session import spread
 
 
@@ -12,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topn.top_candidates(_table(spark, sf_dir, "retrieval"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pairs(spark, sf_dir).select("repositoryCommit", "symbolId")
 
@@ -40,5 +45,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_documents(spread(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found}
+_P3 = f"""
+WITH items AS (
+  SELECT {_requirement("requirementId")} AS requirementId, configurationId, repositoryCommit, c.rank AS r, c.score AS s, {_symbol("c.symbolId")} AS symbolId
+  FROM (SELECT requirementId, configurationId, repositoryCommit, unnest(candidates) AS c FROM retrieval)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY requirementId, configurationId, repositoryCommit, symbolId ORDER BY s DESC, r ASC NULLS LAST) AS n
+  FROM items WHERE requirementId IS NOT NULL AND configurationId IS NOT NULL AND repositoryCommit IS NOT NULL
+    AND symbolId IS NOT NULL AND s IS NOT NULL AND isfinite(s)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY requirementId, configurationId, repositoryCommit ORDER BY s DESC, r ASC NULLS LAST, symbolId) AS place
+  FROM best WHERE n = 1)
+SELECT requirementId, configurationId, repositoryCommit, CAST(place AS INTEGER) AS place, symbolId FROM placed WHERE place <= 5
+"""
+
+SQL: dict[str, str] = {"p3_found": _P3}
