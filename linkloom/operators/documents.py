@@ -76,11 +76,20 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.col("ok") & F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("status").isNotNull()).drop("ok", "no_list", "bad_entry")
 
 
+def shared_ids(documents: DataFrame) -> DataFrame:
+    """id, path and n of every document (id, path) whose id n rows share, one row for each distinct path.
+
+    Rows without an id are left out; a null path stays null. An id is counted before its paths are joined to it, so no
+    list of paths is made, however many documents share it.
+    """
+    rows = documents.select("id", "path").filter(F.col("id").isNotNull())
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.distinct().join(twice, "id").select("id", "path", "n")
+
+
 def duplicate_documents(parsed: DataFrame) -> DataFrame:
-    """path, id and others (the paths that use the id as well) of valid documents with a shared id."""
-    same = Window.partitionBy("id")
-    rows = parsed.filter("valid").select("path", "id", F.count(F.lit(1)).over(same).alias("n"), F.collect_list("path").over(same).alias("all"))
-    return rows.filter("n > 1").select("path", "id", F.array_sort(F.filter("all", lambda p: p != F.col("path"))).alias("others"))
+    """path, id and n (documents that use it) of valid documents with a shared id."""
+    return shared_ids(parsed.filter("valid").select("id", "path")).select("path", "id", "n")
 
 
 def validation_report(parsed: DataFrame) -> DataFrame:

@@ -39,11 +39,6 @@ def averaged(items: DataFrame, by: list[str], ks: tuple[int, ...] = KS) -> DataF
     )
 
 
-def strata(difficulty: Column) -> Column:
-    """The slices a requirement is in: all of them, and its difficulty. Slices overlap, so rows are repeated."""
-    return F.array_compact(F.array(F.lit("overall"), F.when(difficulty != "", difficulty)))
-
-
 #: slices over label passes: the passes whose labels count, and the names of the slices over all requirements
 LABEL_PASSES = {"independent": ("independent",), "both": ("independent", "candidate-review")}
 WHOLE_SLICES = {"independent": ("overall", "independent-only"), "both": ("independent-plus-candidate-review",)}
@@ -61,6 +56,18 @@ def pass_strata(labels: Column, difficulty: Column) -> Column:
     return F.when(labels == "independent", independent).otherwise(F.array(*map(F.lit, WHOLE_SLICES["both"])))
 
 
+def proposal_strata(band: Column, difficulty: Column) -> Column:
+    """The slices of A13 that a proposal of ``band`` (suggest or review) is in."""
+    named = F.array(F.lit("overall"), F.lit("independent-plus-candidate-review"), F.when(band == "suggest", "suggest-only"), F.when(difficulty != "", difficulty))
+    return F.array_compact(named)
+
+
+def proposal_label_strata(labels: Column, difficulty: Column) -> Column:
+    """The slices of A13 in which a label counts under ``labels`` (a key of LABEL_PASSES)."""
+    independent = F.array_compact(F.array(F.lit("overall"), F.lit("suggest-only"), F.when(difficulty != "", difficulty)))
+    return F.when(labels == "independent", independent).otherwise(F.array(F.lit("independent-plus-candidate-review")))
+
+
 def prediction_metrics(predicted: DataFrame, relevant: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Distinct pairs: predicted, relevant, true_positives, precision, recall, f1 by ``by``; empty denominators give 0."""
     p = predicted.select(*by, *keys).distinct().withColumn("p", F.lit(1))

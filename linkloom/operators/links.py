@@ -25,8 +25,12 @@ def link_index(links: DataFrame) -> DataFrame:
 
 
 def adjacency(index: DataFrame, key: str, value: str) -> DataFrame:
-    """``key`` and the sorted list of its ``value``s."""
-    return index.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("items"))
+    """The distinct (``key``, ``value``) in order of both: each key's list is a run of rows.
+
+    Ranges of the sort are cut by both columns, so that a key with very many values lies in several of them and is
+    never gathered in one row or task.
+    """
+    return index.select(key, value).distinct().orderBy(key, value)
 
 
 def symbols_for(index: DataFrame, requirement: str) -> DataFrame:

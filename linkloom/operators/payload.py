@@ -28,30 +28,53 @@ def payload_items(candidates: DataFrame, symbols: DataFrame, keys: list[str], k:
     )
 
 
-def audit(items: DataFrame, candidates: DataFrame, keys: list[str], k: int, budget: Budget = Budget()) -> DataFrame:
-    """Violations of a payload against the retrieved lists: keys, symbolId, rule.
+def audit(items: DataFrame, candidates: DataFrame, keys: list[str], k: int, budget: Budget = Budget(), units: DataFrame | None = None) -> DataFrame:
+    """Violations of a payload against the retrieved lists: keys, symbolId, rule, n (how often).
 
-    Rules: unknown-list, missing-list, excess-items, duplicate-item, unretrieved-item, oversized-field.
+    ``units`` has the keys and text, one row for each unit that was sent; without it the units are the lists of
+    ``items``. Rules: unknown-list, missing-list, duplicate-requirement (n repetitions), excess-items, duplicate-item,
+    unretrieved-item, oversized-field (n fields). A missing list breaks no bound; null texts are empty.
     """
-    none = F.lit(None).cast("string").alias("symbolId")
-    sent = items.select(*keys).distinct()
+    none, once = F.lit(None).cast("string").alias("symbolId"), F.lit(1).cast("bigint")
+    sent_units = items.select(*keys) if units is None else units.select(*keys)
+    sent = sent_units.distinct()
     retrieved = candidates.select(*keys).distinct()
-    rule = lambda df, name, symbol=none: df.select(*keys, symbol, F.lit(name).alias("rule"))
-    too_long = (F.length("signature") > budget.signature + 1) | (F.length("documentation") > budget.documentation + 1) | (F.length("source") > budget.source + 1)
+    rule = lambda df, name, symbol=none, n=once: df.select(*keys, symbol, F.lit(name).alias("rule"), n.cast("bigint").alias("n"))
+    over = lambda c, limit: F.coalesce((F.length(c) > limit + 1).cast("int"), F.lit(0))  # noqa: E731  one more for the mark of a clipped text
+    fields = over("signature", budget.signature) + over("documentation", budget.documentation) + over("source", budget.source)
     found = [
         rule(sent.join(retrieved, keys, "left_anti"), "unknown-list"),
         rule(retrieved.join(sent, keys, "left_anti"), "missing-list"),
         rule(items.groupBy(*keys).count().filter(F.col("count") > k), "excess-items"),
-        rule(items.groupBy(*keys, "symbolId").count().filter("count > 1"), "duplicate-item", F.col("symbolId")),
+        rule(items.groupBy(*keys, "symbolId").count().filter("count > 1"), "duplicate-item", F.col("symbolId"), F.col("count") - 1),
         rule(items.join(retrieved, keys, "left_semi").join(candidates.select(*keys, "symbolId").distinct(), [*keys, "symbolId"], "left_anti"), "unretrieved-item", F.col("symbolId")),
-        rule(items.filter(too_long), "oversized-field", F.col("symbolId")),
+        rule(items.withColumn("over", fields).filter("over > 0"), "oversized-field", F.col("symbolId"), F.col("over")),
     ]
+    if units is not None:
+        found.append(rule(units.groupBy(*keys).count().filter("count > 1"), "duplicate-requirement", n=F.col("count") - 1))
+        found.append(rule(units.filter(over("text", budget.requirement) > 0), "oversized-field"))
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
     return out
 
 
+def audit_disclosure(logs: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether logs say what retrieval itself sent: keys and rule for every fault.
+
+    ``logs`` has the keys, mode (of the run, null where unknown), logged_mode and embedded (texts that the log says
+    were embedded, null for no entry). Semantic and hybrid runs embed the whole corpus, lexical ones nothing. Rules:
+    mode-mismatch, undisclosed-embedding, unexpected-embedding.
+    """
+    embeds = F.col("logged_mode").isin("semantic", "hybrid")
+    rules = F.array(
+        F.when(F.col("mode").isNotNull() & ~F.col("mode").eqNullSafe(F.col("logged_mode")), "mode-mismatch"),
+        F.when(embeds & F.col("embedded").isNull(), "undisclosed-embedding"),
+        F.when(~F.coalesce(embeds, F.lit(False)) & F.col("embedded").isNotNull(), "unexpected-embedding"),
+    )
+    return logs.select(*keys, F.explode(F.array_compact(rules)).alias("rule"))
+
+
 def tallies(items: DataFrame, candidates: DataFrame, keys: list[str], k: int) -> DataFrame:
     """One row: lists and items sent, items permitted (at most ``k`` of each retrieved list)."""
     sent = items.agg(F.count(F.lit(1)).alias("items"), F.countDistinct(F.struct(*keys)).alias("lists"))
@@ -59,13 +82,13 @@ def tallies(items: DataFrame, candidates: DataFrame, keys: list[str], k: int) ->
     return sent.join(F.broadcast(permitted))  # one row each
 
 
-def prompts(requirements: DataFrame, items: DataFrame, keys: list[str], heading: str, closing: str) -> DataFrame:
-    """keys and prompt: the requirement's text, then every item by rank in labelled lines."""
+def prompts(requirements: DataFrame, items: DataFrame, keys: list[str], heading: str, closing: str, budget: Budget = Budget()) -> DataFrame:
+    """keys and prompt: the requirement's text, clipped to its budget, then every item by rank in labelled lines."""
     line = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value))
     body = F.concat_ws("\n", F.concat(F.lit("symbolId: "), "symbolId"), line("kind: ", F.col("kind")), line("name: ", F.col("qualifiedName")), line("signature: ", F.col("signature")), line("documentation: ", F.col("documentation")), line("source:\n", F.col("source")))
     lists = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", body.alias("body")))).alias("parts"))
     numbered = F.transform("parts", lambda p, i: F.concat(F.lit("### Candidate "), (i + 1).cast("string"), F.lit("\n"), p["body"]))
-    return requirements.join(lists, keys).select(*keys, F.concat_ws("\n\n", F.lit(heading), "text", F.array_join(numbered, "\n\n"), F.lit(closing)).alias("prompt"))
+    return requirements.join(lists, keys).select(*keys, F.concat_ws("\n\n", F.lit(heading), text.clip(F.col("text"), budget.requirement), F.array_join(numbered, "\n\n"), F.lit(closing)).alias("prompt"))
 
 
 def verdicts(responses: DataFrame, candidates: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -70,10 +70,14 @@ def bucketed(proposals: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def review_queue(bucketed_: DataFrame, stale: DataFrame) -> DataFrame:
-    """Open proposals, suggested ones first: not discarded and not decided, with ``stale`` (requirementId, symbolId)."""
+    """Open proposals: not discarded and not decided, with ``stale`` (requirementId, symbolId).
+
+    Sorted: suggested ones first, then by requirement and symbol, as rows of a table have no order of arrival.
+    """
     open_ = bucketed_.filter((F.col("band") != "discard") & ~F.col("reviewed"))
     flags = stale.select("requirementId", "symbolId").distinct().withColumn("stale", F.lit(True))
-    return open_.join(flags, ["requirementId", "symbolId"], "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    rows = open_.join(flags, ["requirementId", "symbolId"], "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    return rows.orderBy(F.when(F.col("band") == "suggest", 0).otherwise(1), "requirementId", "symbolId")
 
 
 def check_decisions(batch: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.operators import change_feed, references, snapshots, topn
+from linkloom.operators import change_feed, references, snapshots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +24,11 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(p2_found(spark, sf_dir))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topn.top_candidates(table(spark, sf_dir, "retrieval"))
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, sf_dir, "symbol_index"), table(spark, sf_dir, "commits"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
 
@@ -79,18 +75,17 @@ WHERE requirementId IS NOT NULL AND symbolId IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM symbol_index s WHERE s.repositoryCommit = k AND {_symbol("s.symbolId")} = refs.symbolId)
 """
 
-_P3 = f"""
-WITH items AS (
+#: every list with the place of each of its symbols, and the best score
+RANKED_LISTS = f"""
+WITH entries AS (
   SELECT {_requirement("requirementId")} AS requirementId, configurationId, repositoryCommit, c.rank AS r, c.score AS s, {_symbol("c.symbolId")} AS symbolId
   FROM (SELECT requirementId, configurationId, repositoryCommit, unnest(candidates) AS c FROM retrieval)),
-best AS (
-  SELECT *, row_number() OVER (PARTITION BY requirementId, configurationId, repositoryCommit, symbolId ORDER BY s DESC, r ASC NULLS LAST) AS n
-  FROM items WHERE requirementId IS NOT NULL AND configurationId IS NOT NULL AND repositoryCommit IS NOT NULL
-    AND symbolId IS NOT NULL AND s IS NOT NULL AND isfinite(s)),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY requirementId, configurationId, repositoryCommit ORDER BY s DESC, r ASC NULLS LAST, symbolId) AS place
-  FROM best WHERE n = 1)
-SELECT requirementId, configurationId, repositoryCommit, CAST(place AS INTEGER) AS place, symbolId FROM placed WHERE place <= 5
+once AS (
+  SELECT requirementId, configurationId, repositoryCommit, symbolId, max(s) AS score, arg_min(coalesce(r, 2147483648), (-s, coalesce(r, 2147483648))) AS r
+  FROM entries WHERE requirementId IS NOT NULL AND configurationId IS NOT NULL AND repositoryCommit IS NOT NULL
+    AND symbolId IS NOT NULL AND s IS NOT NULL AND isfinite(s) GROUP BY ALL)
+SELECT requirementId, configurationId, repositoryCommit, symbolId, score,
+  CAST(row_number() OVER (PARTITION BY requirementId, configurationId, repositoryCommit ORDER BY score DESC, r, symbolId) AS INTEGER) AS place FROM once
 """
 
 _P4 = f"""
@@ -109,6 +104,6 @@ WHERE o.k IS NULL OR n.k IS NULL OR o.a <> n.a OR o.b <> n.b
 """
 
 SQL = {
-    "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4,
+    "p1_found": _P1, "p2_found": _P2, "p4_found": _P4,
     "p2_report": f"SELECT tbl, period, count(*) AS orphans FROM ({_P2}) GROUP BY tbl, period",
 }

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.config import LEXICAL_V3, LEXICAL_V4, LEXICAL_V5, STOPWORDS, LexicalConfig
+from linkloom.config import LEXICAL_V3, LEXICAL_V4, LEXICAL_V5, STOPWORDS, Budget, LexicalConfig
 from linkloom.functions import ids, text
-from linkloom.operators import evaluation, fusion, lexical, links, payload, review, semantic, snapshots, topn
+from linkloom.operators import candidates, documents, evaluation, fusion, lexical, links, payload, review, semantic, snapshots
 from linkloom.queries.general import table
 from linkloom.session import materialize, spread
-from linkloom.sources import extractor
+from linkloom.sources import exclusions, extractor
 
 
 def _req() -> Column:
@@ -47,10 +47,6 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requirements(spark, sf_dir).filter(F.regexp_extract("requirementId", r"(\d+)$", 1).cast("int") % 20 == 0).select(F.col("requirementId").alias("query"), "text")
 
 
-def _lists(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return topn.top_candidates(table(spark, sf_dir, "retrieval"), k).withColumnRenamed("place", "rank").withColumnRenamed("symbolId", "item")
-
-
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labeled_links").select(_req(), _sym(), "labelPass", "relationship", "repositoryCommit")
     return rows.filter("requirementId is not null and symbolId is not null")
@@ -75,9 +71,19 @@ def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter(F.col("later").isNull()).select("repositoryCommit")
 
 
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _before_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repositoryCommit of the last snapshot but one of each repository."""
+    pairs = snapshots.snapshot_pairs(table(spark, sf_dir, "commits"))
+    return pairs.filter(F.col("later").isNull() & F.col("earlier").isNotNull()).select(F.col("earlier").alias("repositoryCommit"))
+
+
+def _symbols_at(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFrame:
     rows = table(spark, sf_dir, "symbol_index").select("repositoryCommit", _sym()).filter("symbolId is not null")
-    return rows.join(_newest(spark, sf_dir), "repositoryCommit", "left_semi").select("symbolId").distinct()
+    return rows.join(commits, "repositoryCommit", "left_semi").distinct()
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _symbols_at(spark, sf_dir, _newest(spark, sf_dir)).select("symbolId").distinct()
 
 
 # --- text and lexical retrieval -----------------------------------------------------------------------------------
@@ -146,21 +152,20 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to embed at the newest snapshots: the cache holds what the runs at all earlier snapshots embedded."""
     c = [F.col(x) for x in ("kind", "qualifiedName", "relativePath", "signature", "documentation", "normalizedSource")]
-    texts = _corpus(spark, sf_dir).select(semantic.symbol_text(*c).alias("text")).unionByName(_requirements(spark, sf_dir).select("text"))
-    cached = texts.select(semantic.embedding_key(F.col("text")).alias("key")).distinct().filter(F.substring("key", 1, 1) == "0")
+    corpus = _corpus(spark, sf_dir).select("repositoryCommit", semantic.symbol_text(*c).alias("text"))
+    newest = _newest(spark, sf_dir)
+    texts = corpus.join(newest, "repositoryCommit", "left_semi").select("text").unionByName(_requirements(spark, sf_dir).select("text"))
+    cached = corpus.join(newest, "repositoryCommit", "left_anti").select(semantic.embedding_key(F.col("text")).alias("key")).distinct()
     return semantic.missing_texts(texts, cached).select("key", F.length("text").alias("chars"))
 
 
 def _fused(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     keys = ["requirementId", "repositoryCommit"]
-    ranked = materialize(topn.top_candidates(table(spark, sf_dir, "retrieval"), fusion.pool_size(5)), "lists")
-    first, second = (ranked.filter(F.col("configurationId") == c).select(*keys, F.col("symbolId").alias("item"), F.col("place").alias("rank")) for c in ("bm25f-v5", "semantic-v2"))
-    if how == "rrf":
-        merged = fusion.reciprocal_rank_fusion(first, second, keys, 5)
-    else:  # scores that fall with the rank, as the lists of one configuration carry several scales
-        scaled = [df.withColumn("score", 1.0 / F.col("rank")) for df in (first, second)]
-        merged = fusion.weighted_fusion(*scaled, keys, 5)
+    ranked = candidates.first_places(table(spark, sf_dir, "retrieval"), fusion.pool_size(5))
+    first, second = (ranked.filter(F.col("configurationId") == c).select(*keys, F.col("symbolId").alias("item"), F.col("place").alias("rank"), "score") for c in ("bm25f-v5", "semantic-v2"))
+    merged = fusion.reciprocal_rank_fusion(first, second, keys, 5) if how == "rrf" else fusion.weighted_fusion(first, second, keys, 5)
     return merged.select(*keys, "rank", F.col("item").alias("symbolId"), F.round("score", 9).alias("score"))
 
 
@@ -176,36 +181,6 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["configurationId", "requirementId", "repositoryCommit"]
-    lists = materialize(_lists(spark, sf_dir), "lists")
-    scope = lists.select(*keys).distinct()
-    truth = _labels(spark, sf_dir).filter("relationship = 'implements'").select("requirementId", "repositoryCommit", F.col("symbolId").alias("item")).distinct()
-    relevant = scope.join(truth, ["requirementId", "repositoryCommit"]).select(*keys, "item")
-    items = evaluation.scored_items(lists, relevant, scope, keys)
-    named = items.join(_requirements(spark, sf_dir).select("requirementId", "difficulty"), "requirementId", "left")
-    sliced = named.withColumn("stratum", F.explode(evaluation.strata(F.col("difficulty"))))
-    return evaluation.averaged(sliced, ["configurationId", "stratum"])
-
-
-def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir)
-
-
-def config_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.compare(_metrics(spark, sf_dir), "configurationId", "stratum", "recall_10")
-
-
-def _pivoted(metrics: DataFrame) -> DataFrame:
-    names = ["bm25f-v5", "hybrid-rrf-v1", "semantic-v2"]
-    wide = metrics.groupBy("stratum").pivot("configurationId", names).agg(F.first("mrr"))
-    return wide.select("stratum", *[F.col(f"`{n}`").alias(n.replace("-", "_")) for n in names])
-
-
-def config_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pivoted(_metrics(spark, sf_dir))
-
-
-def _whole_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 to A12 over whole lists and all requirements.
 
     A run is a configuration at a commit of which any list was delivered, also an empty one. Every requirement counts in
@@ -218,38 +193,61 @@ def _whole_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = _labels(spark, sf_dir).filter("relationship = 'implements'").withColumn("labels", F.explode(evaluation.label_slices(F.col("labelPass"))))
     truth = truth.select("requirementId", "repositoryCommit", "labels", F.col("symbolId").alias("item")).distinct().join(known, "requirementId", "left_semi")
     relevant = materialize(truth.join(runs, "repositoryCommit").select(*keys, "labels", "item"), "relevant")
-    places = topn.whole_places(retrieval, relevant.withColumnRenamed("item", "symbolId"))
+    places = candidates.whole_places(retrieval, relevant.withColumnRenamed("item", "symbolId"))
     found = relevant.join(places.withColumnRenamed("symbolId", "item").withColumnRenamed("place", "rank"), [*keys, "item"])
     items = evaluation.scored_items(found, relevant, relevant, [*keys, "labels"])
     sliced = items.join(known, "requirementId").withColumn("stratum", F.explode(evaluation.pass_strata(F.col("labels"), F.col("difficulty"))))
     metrics = evaluation.averaged(sliced, ["configurationId", "stratum"]).drop("unscored")
     labels = F.explode(F.array(*map(F.lit, evaluation.LABEL_PASSES)))
     sizes = known.withColumn("labels", labels).select(F.explode(evaluation.pass_strata(F.col("labels"), F.col("difficulty"))).alias("stratum")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    # a handful of configurations by a handful of slices
-    whole = runs.groupBy("configurationId").agg(F.count(F.lit(1)).alias("runs")).crossJoin(sizes)
-    rows = whole.join(metrics, ["configurationId", "stratum"], "left").fillna(0)
+    # one row for each word of the vocabulary of difficulties, and three more
+    slices = F.array(*[F.struct(F.lit(r["stratum"]).alias("stratum"), F.lit(r["n"]).alias("n")) for r in sizes.collect()] or [F.lit(None).cast("struct<stratum:string,n:bigint>")])
+    totals = runs.groupBy("configurationId").agg(F.count(F.lit(1)).alias("runs")).select("*", F.inline(F.array_compact(slices)))
+    rows = totals.join(metrics, ["configurationId", "stratum"], "left").fillna(0)
     return rows.select("configurationId", "stratum", "scored", (F.col("n") * F.col("runs") - F.col("scored")).alias("unscored"), *metrics.columns[3:])
 
 
-def retrieval_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_metrics(spark, sf_dir)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir)
 
 
-def config_comparison_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.compare(_whole_metrics(spark, sf_dir), "configurationId", "stratum", "recall_10")
+def unscored_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11's list of what the averages leave out: requirements that no label of a slice's passes scores at any commit of a run."""
+    runs = table(spark, sf_dir, "retrieval").select("repositoryCommit", "configurationId").dropna().select("repositoryCommit").distinct()
+    labels = F.explode(F.array(*map(F.lit, evaluation.LABEL_PASSES))).alias("labels")
+    truth = _labels(spark, sf_dir).filter("relationship = 'implements'").join(runs, "repositoryCommit", "left_semi")
+    truth = truth.select("requirementId", F.explode(evaluation.label_slices(F.col("labelPass"))).alias("labels")).distinct()
+    open_ = _requirements(spark, sf_dir).select("requirementId", "difficulty", labels).join(truth, ["requirementId", "labels"], "left_anti")
+    return open_.select("requirementId", F.explode(evaluation.pass_strata(F.col("labels"), F.col("difficulty"))).alias("stratum"))
+
+
+def config_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.compare(_metrics(spark, sf_dir), "configurationId", "stratum", "recall_10")
 
 
-def config_pivot_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pivoted(_whole_metrics(spark, sf_dir))
+def _pivoted(metrics: DataFrame) -> DataFrame:
+    names = ["bm25f-v5", "hybrid-rrf-v1", "semantic-v2"]
+    wide = metrics.groupBy("stratum").pivot("configurationId", names).agg(F.first("mrr"))
+    return wide.select("stratum", *[F.col(f"`{n}`").alias(n.replace("-", "_")) for n in names])
+
+
+def config_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pivoted(_metrics(spark, sf_dir))
 
 
 def proposal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = review.latest_decisions(_log(spark, sf_dir)).withColumn("band", review.band(F.col("modelConfidence"), F.col("modelClassification")))
-    known = _requirements(spark, sf_dir).select("requirementId", F.explode(evaluation.strata(F.col("difficulty"))).alias("stratum"))
-    predicted = last.filter("modelClassification = 'implements' and band in ('suggest', 'review')").select("requirementId", F.col("proposedSymbolId").alias("symbolId")).join(known, "requirementId")
-    relevant = _labels(spark, sf_dir).filter("relationship = 'implements'").select("requirementId", "symbolId").join(known, "requirementId")
+    known = _requirements(spark, sf_dir).select("requirementId", "difficulty")
+    predicted = last.filter("modelClassification = 'implements' and band in ('suggest', 'review')").select("requirementId", F.col("proposedSymbolId").alias("symbolId"), "band").join(known, "requirementId")
+    predicted = predicted.select("requirementId", "symbolId", F.explode(evaluation.proposal_strata(F.col("band"), F.col("difficulty"))).alias("stratum"))
+    relevant = _labels(spark, sf_dir).filter("relationship = 'implements'").withColumn("labels", F.explode(evaluation.label_slices(F.col("labelPass")))).join(known, "requirementId")
+    relevant = relevant.select("requirementId", "symbolId", F.explode(evaluation.proposal_label_strata(F.col("labels"), F.col("difficulty"))).alias("stratum"))
     found = evaluation.prediction_metrics(predicted, relevant, ["requirementId", "symbolId"], ["stratum"])
-    return found.select("stratum", "predicted", "relevant", "true_positives", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+    scope = known.select("requirementId", F.explode(evaluation.proposal_strata(F.lit("suggest"), F.col("difficulty"))).alias("stratum"))
+    labelled = relevant.select("requirementId", "stratum").distinct().withColumn("has", F.lit(1))
+    sizes = scope.join(labelled, ["requirementId", "stratum"], "left").groupBy("stratum").agg(F.count(F.lit(1)).alias("requirements"), F.count(F.when(F.col("has").isNull(), 1)).alias("without_labels"))
+    rows = sizes.join(found, "stratum", "left").fillna(0)
+    return rows.select("stratum", "requirements", "without_labels", "predicted", "relevant", "true_positives", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 # --- review, links, coverage --------------------------------------------------------------------------------------
@@ -273,13 +271,11 @@ def review_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
-    proposals = log.groupBy("requirementId", F.col("proposedSymbolId").alias("symbolId")).agg(F.max("modelConfidence").alias("confidence"), F.max("modelClassification").alias("classification"))
-    # bands recorded for decisions of the reviewers 01 to 09
-    recorded = review.recorded_bands(log.filter("reviewer < 'reviewer-10'"))
-    known = _known(spark, sf_dir)
-    stale = proposals.join(known, "symbolId", "left_anti")
-    queue = review.review_queue(review.bucketed(proposals, recorded), stale)
+    """Every pair that the decisions table names is a proposal; those with a row that is a decision are decided."""
+    rows = table(spark, sf_dir, "decisions").select(_req(), ids.symbol_id(F.col("proposedSymbolId")).alias("symbolId"), "modelConfidence", "modelClassification").filter("requirementId is not null and symbolId is not null")
+    proposals = rows.groupBy("requirementId", "symbolId").agg(F.max("modelConfidence").alias("confidence"), F.max("modelClassification").alias("classification"))
+    stale = proposals.join(_known(spark, sf_dir), "symbolId", "left_anti")
+    queue = review.review_queue(review.bucketed(proposals, review.recorded_bands(_log(spark, sf_dir))), stale)
     return queue.select("requirementId", "symbolId", "band", "stale")
 
 
@@ -289,7 +285,7 @@ def link_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    sides = [links.adjacency(index, a, b).select(F.lit(n).alias("side"), F.col(a).alias("key"), F.array_join("items", ",").alias("items")) for n, a, b in (("requirement", "requirementId", "symbolId"), ("symbol", "symbolId", "requirementId"))]
+    sides = [links.adjacency(index, a, b).select(F.lit(n).alias("side"), F.col(a).alias("key"), F.col(b).alias("item")) for n, a, b in (("requirement", "requirementId", "symbolId"), ("symbol", "symbolId", "requirementId"))]
     return sides[0].unionByName(sides[1])
 
 
@@ -303,12 +299,16 @@ def reconcile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    previous = _index(spark, sf_dir).filter("commit is not null and substring(commit, 1, 1) < '8'").select("requirementId", "symbolId", F.col("commit").alias("last"))
-    return links.resolve(_index(spark, sf_dir), _known(spark, sf_dir), previous, F.lit("now")).select("requirementId", "symbolId", "resolved", "last_resolved")
+    """Links resolved at the newest snapshots; the last run was at the snapshots before these."""
+    index = _index(spark, sf_dir)
+    seen = _symbols_at(spark, sf_dir, _before_newest(spark, sf_dir)).groupBy("symbolId").agg(F.max("repositoryCommit").alias("last"))
+    previous = index.select("requirementId", "symbolId").join(seen, "symbolId")
+    return links.resolve(index, _known(spark, sf_dir), previous, F.lit("now")).select("requirementId", "symbolId", "resolved", "last_resolved")
 
 
 def _excluded(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in ("views", "report")]))
+    """The fixed directories, and two patterns as a project's settings would name them."""
+    return exclusions.excluded_path(path, ["views/", "report/"])
 
 
 def stale_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +343,7 @@ def suspected_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = topn.top_candidates(table(spark, sf_dir, "retrieval"), 5)
+    lists = candidates.first_places(table(spark, sf_dir, "retrieval"), 5)
     keys = ["requirementId", "repositoryCommit"]
     first, second = (lists.filter(F.col("configurationId") == c).select(*keys, F.col("symbolId").alias("item"), F.col("place").alias("rank")) for c in ("bm25f-v5", "hybrid-rrf-v1"))
     return links.result_differences(first, second, keys)
@@ -351,21 +351,38 @@ def result_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- payloads, verdicts, usage ------------------------------------------------------------------------------------
 
-LIST = ["requirementId", "configurationId", "repositoryCommit"]
+LIST = candidates.LIST
 
 
-def payload_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = topn.top_candidates(table(spark, sf_dir, "retrieval"), 5).withColumnRenamed("place", "rank")
-    items = payload.payload_items(candidates, _corpus(spark, sf_dir), LIST, 3, strict=False)
+def _clip_lengths(items: DataFrame) -> DataFrame:
     return items.select(*LIST, "rank", "symbolId", F.length("signature").alias("signature"), F.length("documentation").alias("documentation"), F.length("source").alias("source"))
 
 
+def payload_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = candidates.first_places(table(spark, sf_dir, "retrieval"), 5).withColumnRenamed("place", "rank")
+    return _clip_lengths(payload.payload_items(lists, _corpus(spark, sf_dir), LIST, 3, strict=False))
+
+
 def payload_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = materialize(topn.top_candidates(table(spark, sf_dir, "retrieval"), 5).withColumnRenamed("place", "rank"), "lists")
-    items = materialize(payload.payload_items(candidates, _corpus(spark, sf_dir), LIST, 3, strict=False), "payload")
-    # judged against the two best of each list, so that the third counts as never retrieved
-    found = payload.audit(items, candidates.filter("rank <= 2"), LIST, 2)
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """The payload of the lexical run, with its units as delivered, judged against the lists of the semantic run, a k of 2 and a lower budget."""
+    keys = ["requirementId", "repositoryCommit"]
+    lists = materialize(candidates.first_places(table(spark, sf_dir, "retrieval"), 5).withColumnRenamed("place", "rank"), "lists")
+    sent, judged = (lists.filter(F.col("configurationId") == c) for c in ("bm25f-v5", "semantic-v2"))
+    items = payload.payload_items(sent, _corpus(spark, sf_dir), LIST, 3, strict=False)
+    # one unit for each delivery of the requirement's document
+    texts = table(spark, sf_dir, "requirements").select(ids.requirement_id(F.col("id")).alias("requirementId"), text.requirement_text(F.col("title"), F.col("statement"), F.col("acceptance_criteria")).alias("text"))
+    units = sent.select(*keys).distinct().join(texts, "requirementId")
+    found = payload.audit(items, judged, keys, 2, Budget(requirement=200, signature=60, documentation=120, source=300), units)
+    return found.groupBy("rule").agg(F.sum("n").alias("n"))
+
+
+def disclosure_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of runs by commit: a run that embeds must log as many texts as its commit has symbols."""
+    mode = F.when(F.col("configurationId").startswith("bm25f"), "lexical").when(F.col("configurationId").startswith("hybrid"), "hybrid").otherwise("semantic")
+    runs = table(spark, sf_dir, "retrieval").select("configurationId", "repositoryCommit").dropna().distinct().withColumn("mode", mode)
+    sizes = _corpus(spark, sf_dir).groupBy("repositoryCommit").agg(F.count(F.lit(1)).alias("embedded"))
+    logs = runs.join(sizes, "repositoryCommit", "left").withColumn("logged_mode", F.col("mode"))
+    return payload.audit_disclosure(logs, ["configurationId", "repositoryCommit"])
 
 
 def verdict_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,9 +407,8 @@ def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "requirements").select(ids.requirement_id(F.col("id")).alias("requirementId"), "path").filter("requirementId is not null")
-    paths = rows.groupBy("requirementId").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
-    return paths.filter("n > 1")
+    rows = table(spark, sf_dir, "requirements").select("path", ids.requirement_id(F.col("id")).alias("id"))
+    return documents.shared_ids(rows).select(F.col("id").alias("requirementId"), "path", "n")
 
 
 def overload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,18 +427,14 @@ def wiki_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wiki_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkloom.operators.documents import resolve_wiki_links
-
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.explode(text.wiki_links(F.col("text"))).alias("target")).distinct()
     held = table(spark, sf_dir, "requirements").select("path", ids.requirement_id(F.col("id")).alias("requirementId")).filter("path is not null").distinct()
-    return resolve_wiki_links(docs, held)
+    return documents.resolve_wiki_links(docs, held)
 
 
 def requirement_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("source = 'requirements' and text is not null")
-    from linkloom.operators.documents import split_frontmatter
-
-    parts = split_frontmatter(docs, "text")
+    parts = documents.split_frontmatter(docs, "text")
     return parts.select("doc_id", F.col("front").isNotNull().alias("has_front"), F.length(text.section(F.col("body"), "Statement")).alias("statement"), F.length(text.section(F.col("body"), "Rationale")).alias("rationale"))
 
 
@@ -447,8 +459,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_counts, folded_terms, protected_stopwords, term_stats, field_lengths, bm25f_topk, bm25f_v4_topk, bm25f_v3_topk, span_containment, cosine_topk, embedding_texts, rrf_fusion,
-        weighted_fusion, retrieval_metrics, config_comparison, config_pivot, retrieval_metrics_whole, config_comparison_whole, config_pivot_whole, proposal_metrics, band_counts, link_state, recorded_bands, review_statistics, review_queue, link_index, link_adjacency,
-        unlinked_requirements, reconcile_links, resolved_links, stale_proposals, coverage_states, coverage_summary, drifted_links, suspected_renames, result_differences, payload_items, payload_audit,
+        weighted_fusion, retrieval_metrics, unscored_requirements, config_comparison, config_pivot, proposal_metrics, band_counts, link_state, recorded_bands, review_statistics, review_queue, link_index, link_adjacency,
+        unlinked_requirements, reconcile_links, resolved_links, stale_proposals, coverage_states, coverage_summary, drifted_links, suspected_renames, result_differences, payload_items, payload_audit, disclosure_audit,
         verdict_failures, usage_totals, duplicate_ids, overload_ids, wiki_backlinks, wiki_resolution, requirement_sections, symbol_counts, symbol_paths, extracted_symbols,
     )
 }

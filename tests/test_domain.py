@@ -47,7 +47,7 @@ def test_links(spark):
     raw = spark.createDataFrame([(" r1", "a", "x", "2", "c2"), ("R1", "a ", "y", "1", "c1"), ("R1", "b", None, None, None), ("R2", "b", "x", "1", "c1"), (None, "b", "x", "1", "c1")], schema)
     index = links.link_index(links.clean_links(raw)).cache()
     assert rows(index.select(*schema.replace(" string", "").split(", "))) == [("R1", "a", "y", "1", "c1"), ("R1", "b", None, None, None), ("R2", "b", "x", "1", "c1")]
-    assert rows(links.adjacency(index, "symbolId", "requirementId")) == [("a", ["R1"]), ("b", ["R1", "R2"])]
+    assert [tuple(r) for r in links.adjacency(index, "symbolId", "requirementId").collect()] == [("a", "R1"), ("b", "R1"), ("b", "R2")]
     assert rows(links.symbols_for(index, "R1")) == [("a",), ("b",)] and rows(links.requirements_for(index, "b")) == [("R1",), ("R2",)]
     reqs = spark.createDataFrame([("R1",), ("R2",), ("R3",), (None,)], "requirementId string")
     assert rows(links.unlinked(reqs, index)) == [("R3",)]
@@ -107,7 +107,7 @@ def test_documents(spark, tmp_path):
     assert (found["b/c.md"].statement, found["b/c.md"].criteria, found["b/c.md"].warnings, found["b/c.md"].valid) == ("front", ["x"], ["unknown-status:status", "unknown-priority:priority"], True)
     assert all(found[p].violations == ["malformed-frontmatter"] and not found[p].valid for p in ("none.md", "bad.md", "null.md"))
     assert found["empty.md"].violations == ["missing-field:id", "missing-field:title", "missing-field:status", "no-acceptance-criteria", "malformed-links:links"]
-    assert rows(documents.duplicate_documents(parsed)) == [("a.md", "REQ-1", ["b/c.md"]), ("b/c.md", "REQ-1", ["a.md"])]
+    assert rows(documents.duplicate_documents(parsed)) == [("a.md", "REQ-1", 2), ("b/c.md", "REQ-1", 2)]
     report = documents.validation_report(parsed)
     assert report.filter("rule = 'duplicate-id'").count() == 2 and report.filter("level = 'warning'").count() == 2
     held = spark.createDataFrame([("specs/a.md", "REQ-1"), ("other/a.md", "REQ-2")], "path string, requirementId string")
@@ -227,3 +227,22 @@ def test_reports(spark):
     assert reports.bar_chart(df, "name", ["recall", "hit"]).count("<rect") == 4
     with pytest.raises(ValueError, match="series"):
         reports.bar_chart(df, "name", [])
+
+
+def test_audit_of_units_and_disclosure(spark):
+    kinds = "requirementId string, symbolId string, rank int, signature string, documentation string, source string"
+    items = spark.createDataFrame([("r", "a", 1, "s" * 600, None, "y" * 3000), ("r", "a", 1, "s", "d", "y")], kinds)
+    candidates = spark.createDataFrame([("r", "a", 1)], "requirementId string, symbolId string, rank int")
+    units = spark.createDataFrame([("r", "t" * 5000), ("r", "t"), ("r", None)], "requirementId string, text string")
+    found = payload.audit(items, candidates, ["requirementId"], 5, units=units)
+    assert rows(found) == sorted([("r", "a", "duplicate-item", 1), ("r", "a", "oversized-field", 2), ("r", None, "duplicate-requirement", 2), ("r", None, "oversized-field", 1)], key=str)
+    logs = [("a", "lexical", "lexical", None), ("b", "semantic", "lexical", 3), ("c", "hybrid", "hybrid", None), ("d", None, "semantic", 5), ("e", None, None, 1)]
+    told = payload.audit_disclosure(spark.createDataFrame(logs, "run string, mode string, logged_mode string, embedded bigint"), ["run"])
+    assert rows(told) == [("b", "mode-mismatch"), ("b", "unexpected-embedding"), ("c", "undisclosed-embedding"), ("e", "unexpected-embedding")]
+
+
+def test_planted_renames(spark):
+    sides = "repositoryCommit string, symbolId string, body string"
+    gone = spark.createDataFrame([("c", "old", "h1"), ("c", "lost", "h2"), ("c", "blank", None), ("d", "old", "h1")], sides)
+    new = spark.createDataFrame([("c", "new-b", "h1"), ("c", "new-a", "h1"), ("c", "none", None)], sides)
+    assert rows(links.renames(gone, new)) == [("c", "old", "new-a", 2)]

@@ -192,7 +192,7 @@ def test_whole_metrics_rank_whole_lists_of_all_requirements(spark, tmp_path):
     spark.createDataFrame(rows, "requirementId string, configurationId string, repositoryCommit string, candidates array<struct<rank int, symbolId string, score double>>").write.parquet(f"{tmp_path}/retrieval.parquet")
     labels = [("REQ-A-0001", sym(12), "independent"), ("REQ-A-0001", sym(1), "candidate-review"), ("REQ-A-0002", sym(5), "independent"), ("REQ-A-0003", sym(2), "candidate-review"), ("REQ-A-0004", sym(2), None)]
     spark.createDataFrame([(*x, "implements", "c1") for x in labels], "requirementId string, symbolId string, labelPass string, relationship string, repositoryCommit string").write.parquet(f"{tmp_path}/labeled_links.parquet")
-    found = {(r.configurationId, r.stratum): (r.scored, r.unscored, r.mrr, r.recall_10, r.hit_1) for r in reference.retrieval_metrics_whole(spark, str(tmp_path)).collect()}
+    found = {(r.configurationId, r.stratum): (r.scored, r.unscored, r.mrr, r.recall_10, r.hit_1) for r in reference.retrieval_metrics(spark, str(tmp_path)).collect()}
     single = (2, 2, round(1 / 24, 9), 0.0, 0.0)
     assert found == {
         ("bm25f-v5", "overall"): single, ("bm25f-v5", "independent-only"): single, ("bm25f-v5", "high-overlap"): (2, 0, *single[2:]),
@@ -200,5 +200,5 @@ def test_whole_metrics_rank_whole_lists_of_all_requirements(spark, tmp_path):
         ("semantic-v2", "overall"): (2, 2, 0.0, 0.0, 0.0), ("semantic-v2", "independent-only"): (2, 2, 0.0, 0.0, 0.0), ("semantic-v2", "high-overlap"): (2, 0, 0.0, 0.0, 0.0),
         ("semantic-v2", "independent-plus-candidate-review"): (3, 1, 0.0, 0.0, 0.0),
     }
-    assert {r.stratum: r.best_by for r in reference.config_comparison_whole(spark, str(tmp_path)).collect()}["independent-plus-candidate-review"] == "bm25f-v5"
-    assert {r.stratum: r.bm25f_v5 for r in reference.config_pivot_whole(spark, str(tmp_path)).collect()}["overall"] == single[2]
+    assert {r.stratum: r.best_by for r in reference.config_comparison(spark, str(tmp_path)).collect()}["independent-plus-candidate-review"] == "bm25f-v5"
+    assert {r.stratum: r.bm25f_v5 for r in reference.config_pivot(spark, str(tmp_path)).collect()}["overall"] == single[2]
