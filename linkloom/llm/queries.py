@@ -45,7 +45,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_documents(spread(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found}
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_report(spread(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found, "p8_report": p8_report}
 _P3 = f"""
 WITH items AS (
   SELECT {_requirement("requirementId")} AS requirementId, configurationId, repositoryCommit, c.rank AS r, c.score AS s, {_symbol("c.symbolId")} AS symbolId

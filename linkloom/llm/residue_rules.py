@@ -1,8 +1,9 @@
-"""Trusted rules for template residue, filler, error pages and script notices in one unit of text.
+"""Units of a text, and what can be trusted to be template residue, filler or an error page by its form alone.
 
-A unit is a line (a title, a field value, a paragraph, a list item) without its marks. Two kinds of evidence count:
-a *place* of a template inside of a unit, found after quoted, back-ticked and code parts are taken out, and a unit
-that consists of messages or filler as a whole.
+A unit is a line (a title, a field value, a paragraph, a list item) without its marks. Two kinds of evidence count: a
+*place* of a template inside of a unit, found after quoted, back-ticked and code parts are taken out, and the form of a
+unit as a whole: filler, a stand-in, an error object or an empty page. Messages are a short table of seeds; the units of
+a corpus meet them, and one another, as equal or near forms.
 """
 
 from __future__ import annotations
@@ -83,9 +84,9 @@ _TAG = regex.compile(r"</?[A-Za-z][^<>\n]*>")
 
 # Stand-ins that mark missing content when they are all of a unit.
 _EMPTY_UNITS = frozenset(
-    "tbd tba tbc t.b.d. todo fixme undefined null nan placeholder platzhalter lorem xxx xx ??? ?? … ... n.n. [object object] coming soon "
-    "to be defined|to be done|to be determined|to be added|to be written|to be decided|work in progress|coming soon|under construction|insert text here|your text here".split("|")[0].split()
-) | frozenset(["[object object]", "coming soon", "to be defined", "to be done", "to be determined", "to be added", "to be written", "to be decided", "insert text here", "your text here", "under construction"])
+    "tbd|tba|tbc|t.b.d.|todo|fixme|undefined|null|nan|placeholder|platzhalter|lorem|xxx|xx|???|??|…|...|n.n.|[object object]|coming soon|to be defined|to be done|to be determined"
+    "|to be added|to be written|to be decided|work in progress|under construction|insert text here|your text here".split("|")
+)
 
 # Words of the usual Latin filler text.
 _LATIN = frozenset(
@@ -97,12 +98,12 @@ _LATIN = frozenset(
 _KEYS = frozenset("asdfjklqwer")
 _FOO = frozenset("foo bar baz qux text sample test xxx blah bla lorem dummy placeholder word words example content asdf qwerty テスト ダミー サンプル beispiel texto texte tekst".split())
 
-# Messages of error pages, notices that scripts are required, and filler; * is any word.
-_MESSAGES = """
+# Trusted seeds, whole units that are error messages, notices that scripts are required, or filler. They
+# are not searched for in texts: units that are equal or near to them are linked to them. 0 stands for any name.
+SEEDS = """
 Not Found
 Page not found
 Bad Request
-Forbidden
 Access denied
 Unauthorized
 Internal Server Error
@@ -110,147 +111,120 @@ Bad Gateway
 Service Unavailable
 Service Temporarily Unavailable
 Gateway Time-out
-Gateway Timeout
 Request Timeout
-Too many requests
+Too many requests. Try again later.
 Error establishing a database connection
-Oops! Something went wrong
-Something went wrong
-Whoops, looks like this link is broken
-Sorry, we couldn't find that page
-The page you requested could not be found
-The page you are looking for does not exist
-The document you asked for no longer exists
-This page isn't working right now
-We are down for maintenance
-You do not have permission to view this resource
-Your session has expired
-Please sign in again
-Try again later
-Application error: an exception occurred while loading the page
-The requested URL * was not found on this server
+Oops! Something went wrong.
+Something went wrong.
+Whoops, looks like this link is broken.
+Sorry, we couldn't find that page.
+The page you requested could not be found.
+The page you are looking for does not exist.
+The document you asked for no longer exists.
+This page isn't working right now.
+We are down for maintenance.
+You do not have permission to view this resource.
+Your session has expired. Please sign in again.
+Application error: an exception occurred while loading the page.
+The requested URL 0 was not found on this server.
 Seite nicht gefunden
 Interner Serverfehler
 Zugriff verweigert
 Der Dienst ist zurzeit nicht verfügbar
 Der Dienst ist derzeit nicht verfügbar
 Der Dienst ist vorübergehend nicht verfügbar
-Bitte versuchen Sie es später noch einmal
-Ihre Sitzung ist abgelaufen
-Bitte melden Sie sich erneut an
+Der Dienst ist zurzeit nicht verfügbar. Bitte versuchen Sie es später noch einmal.
+Der Dienst ist derzeit nicht verfügbar. Bitte versuchen Sie es später noch einmal.
+Der Dienst ist vorübergehend nicht verfügbar. Bitte versuchen Sie es später noch einmal.
+Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.
 Page introuvable
 Erreur interne du serveur
 Accès refusé
 Le service est momentanément indisponible
-Votre session a expiré, veuillez vous reconnecter
+Votre session a expiré, veuillez vous reconnecter.
 Página no encontrada
 Error interno del servidor
 Acceso denegado
 El servicio no está disponible en este momento
-Su sesión ha caducado
-Vuelva a iniciar sesión
+Su sesión ha caducado. Vuelva a iniciar sesión.
 Nie znaleziono strony
 Wewnętrzny błąd serwera
 Brak dostępu
 Usługa jest chwilowo niedostępna
-Sesja wygasła
-Zaloguj się ponownie
+Sesja wygasła. Zaloguj się ponownie.
 ページが見つかりません
 アクセスが拒否されました
 サーバー内部エラーが発生しました
 現在サービスをご利用いただけません
-セッションの有効期限が切れました
-再度ログインしてください
-You need to enable JavaScript to run this app
-Please enable JavaScript to continue
-Please enable JavaScript
-JavaScript is disabled in your browser
-JavaScript is required
-Turn it on and reload
-Please turn on scripts and cookies to view this *
-Scripts are blocked
-Allow them for this site to see the *
-Scripts must be allowed
-Checking your browser before you can go on
-We're sorry but this * doesn't work properly without JS enabled
-We're sorry but * doesn't work properly without JavaScript enabled
-This * requires JavaScript
-Your browser does not support scripts, or they are switched off
-noscript: the * cannot start without JavaScript
-The * cannot start without JavaScript
-Bitte aktivieren Sie JavaScript, um diese * zu nutzen
-Diese Seite benötigt JavaScript
-JavaScript est requis pour afficher ce contenu
-Veuillez activer JavaScript pour continuer
-Active JavaScript en su navegador para continuar
-Esta página necesita JavaScript para mostrarse
-Włącz obsługę JavaScript, aby zobaczyć tę stronę
-Ta strona wymaga JavaScript
-このページを表示するには JavaScript を有効にしてください
-Sample text goes here
-Replace it with your own content
-Your text here
-Copy to come
-Text to come
-This is placeholder content
-nothing to see yet
-Dummy paragraph to fill the space until the real words arrive
-Type something
-This block only shows how a paragraph would look
-Content coming soon
-Dies ist ein Blindtext
-Er steht hier nur, damit die Seite nicht leer ist
-Hier steht später der Text
-Texte de remplissage, à remplacer par le contenu définitif
-Texte de remplissage
-Texto de relleno
-Sustituir por el contenido definitivo
-Tekst zastępczy, do podmiany przed publikacją
-Tekst zastępczy
-これはダミーテキストです
-公開前に差し替えてください
-""".strip().split("\n")
-
-# What stands around such messages and is no message by itself.
-_AROUND = """
-Request ID: *
-Reference *
-code=* path=*
-Back | Home | Help
-Return to the home page
-Try reloading in a few minutes
-Please contact your administrator
-An unexpected condition was met
-Skip to content
-Menu Search Sign in
-Loading
-Please wait
+セッションの有効期限が切れました。再度ログインしてください。
+You need to enable JavaScript to run this app.
+Please enable JavaScript to continue.
+Please enable JavaScript.
+JavaScript is disabled in your browser. Turn it on and reload.
+JavaScript is required.
+Please turn on scripts and cookies to view this 0.
+Scripts are blocked. Allow them for this site to see the 0.
+Checking your browser before you can go on. Scripts must be allowed.
+We're sorry but this 0 doesn't work properly without JS enabled.
+We're sorry but 0 doesn't work properly without JavaScript enabled.
+This 0 requires JavaScript.
+Your browser does not support scripts, or they are switched off.
+noscript: the 0 cannot start without JavaScript
+The 0 cannot start without JavaScript.
+Bitte aktivieren Sie JavaScript, um diese Anwendung zu nutzen.
+Diese Seite benötigt JavaScript.
+JavaScript est requis pour afficher ce contenu.
+Veuillez activer JavaScript pour continuer.
+Active JavaScript en su navegador para continuar.
+Esta página necesita JavaScript para mostrarse.
+Włącz obsługę JavaScript, aby zobaczyć tę stronę.
+Ta strona wymaga JavaScript.
+このページを表示するには JavaScript を有効にしてください。
+Sample text goes here. Replace it with your own content.
+Your text here.
+Copy to come.
+Text to come.
+This is placeholder content; nothing to see yet.
+Dummy paragraph to fill the space until the real words arrive.
+Type something. This block only shows how a paragraph would look.
+Content coming soon.
+Dies ist ein Blindtext. Er steht hier nur, damit die Seite nicht leer ist.
+Hier steht später der Text.
+Texte de remplissage, à remplacer par le contenu définitif.
+Texto de relleno. Sustituir por el contenido definitivo.
+Texto de relleno, sustituir por el contenido definitivo.
+Tekst zastępczy, do podmiany przed publikacją.
+これはダミーテキストです。公開前に差し替えてください。
 """.strip().split("\n")
 
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
 _WORDS = regex.compile(rf"[{_CJK}]|(?:(?![{_CJK}])[\p{{L}}\p{{N}}\p{{M}}])+(?:['’](?:(?![{_CJK}])[\p{{L}}])+)*")
 
 
-def _phrase(text: str) -> str:
-    words = text.split()
-    if regex.search(rf"[{_CJK}]", text):
-        return r"\s*".join(regex.escape(w) for w in words)
-    parts = [r"\S+" if w == "*" else regex.sub(r"\\?\*", r"\\S+", regex.escape(regex.sub(r"^[^\p{L}\p{N}#*|]+|[^\p{L}\p{N}*|]+$", "", w) or w, special_only=True)) for w in words]
-    # up to two stray tokens may stand between two words of a message
-    return r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]*\s(?:\S+\s+){0,2}?[^\p{L}\p{N}]*".join(parts) + r"(?![\p{L}\p{N}])"
-
-
-_TRACES = re.compile(r"\bat \w+ \([^()\s]+\)|\bcode=\d+|\bpath=\S+|[\w-]+/\d+\.\d+|#[0-9a-f]+|\bURL /\S+")
-_STATUS = r"(?:HTTP(?:/\d(?:\.\d)?)?\s*(?:Status|Error)?\s*)?(?:Error\s*)?(?<!\d)[45]\d\d(?!\d)\s*[:–—-]?|(?<![\p{L}])Error\s+[45]\d\d(?!\d)"
-_MESSAGE = regex.compile("|".join(sorted((_phrase(m) for m in _MESSAGES), key=len, reverse=True)), regex.IGNORECASE)
-_STATUS_ALONE = regex.compile(r"^\s*(?:HTTP(?:/\d(?:\.\d)?)?\s*(?:Status|Error)?|Error|Fehler|Erreur|Błąd|エラー)\s*[45]\d\d\s*$", regex.IGNORECASE)
-_STATUS_DIGITS = re.compile(r"[45]\d\d")
-_STATUS_START = regex.compile(r"^\s*(?:HTTP(?:/\d(?:\.\d)?)?\s*(?:Status|Error)?|Error|Fehler|Erreur|Błąd|エラー)\s*[45]\d\d\b", regex.IGNORECASE)
-_AROUND_RE = regex.compile(
-    "|".join(_phrase(m) for m in _AROUND) + r"|\bat \w+ \(\S+:\d+:\d+\)|\b[\w-]+/\d+(?:\.\d+)+|©\s*\d{4}\s*\S+|" + _STATUS,
+# Furniture of served pages that stands around messages and is no message by itself.
+_FURNITURE = regex.compile(
+    r"\bRequest ID:?\s*#?[0-9a-f]+\b|\bReference\s*#[0-9a-f]+\b|\bcode=\d+\s+path=\S+|\bat \w+ \([^()\s]+:\d+:\d+\)|(?<![\w/])[\w-]+/\d+(?:\.\d+)+(?![\w/])|©\s*\d{4}\s*\S+"
+    r"|\bBack \| Home \| Help\b|\bReturn to the home page\b|\bTry reloading in a few minutes\b\.?|\bPlease contact your administrator\b\.?|\bAn unexpected condition was met\b\.?"
+    r"|\bSkip to content\b|\bMenu\s+Search\s+Sign in\b|\bLoading\s*(?:\.{3}|…)|\bPlease wait\b(?:\s*(?:\.{3}|…))?",
     regex.IGNORECASE,
 )
-_ERROR_JSON = regex.compile(r'^\s*\{\s*"(?:error|message|status|code)"\s*:.*"(?:error|message|status|code)"\s*:.*\}\s*$')
+#: a line (in lower case) without any of these has no furniture
+_FURNITURE_MARKS = ("request id", "reference", "code=", ".js:", ".ts:", "/1.", "/2.", "/3.", "/4.", "/5.", "/6.", "/7.", "/8.", "/9.", "/0.", "©", "back |", "home page", "reloading", "administrator", "unexpected", "skip to", "sign in", "loading", "please wait")
+_FURNITURE_START = re.compile("|".join(map(re.escape, _FURNITURE_MARKS)))
+_URL_NOTICE = "the requested url was not found on this server"
+_STATUS = regex.compile(r"^\s*(?:HTTP(?:/\d(?:\.\d)?)?\s*(?:Status|Error)?\s*)?(?:Error\s*)?[45]\d\d(?!\d)\s*[:–—-]?\s+", regex.IGNORECASE)
+_STATUS_HEAD = re.compile(r"\s*(?:[45]\d\d|HTTP|Err|Fehler|Błąd|エラー)", re.IGNORECASE)
+_STATUS_ALONE = regex.compile(r"^\s*(?:HTTP(?:/\d(?:\.\d)?)?\s*(?:Status|Error)?|Error|Fehler|Erreur|Błąd|エラー)\s*[45]\d\d\s*[.!]?\s*$", regex.IGNORECASE)
+_ERROR_JSON = regex.compile(r'^\{\s*"(?:error|message|status|code)"\s*:.*\}\s*$')
+_JSON_TEXT = regex.compile(r'"(?:error|message)"\s*:\s*"((?:[^"\\]|\\.)*)"')
+_JSON_FAULT = regex.compile(r'"(?:status|code)"\s*:\s*"?[45]\d\d|"error"\s*:')
+#: what ends a sentence or stands between parts of a line
+_BREAKS = (". ", "! ", "? ", "… ", "。", " - ", " – ", " — ", " | ")
+#: names in notices about scripts: any one word stands in their place
+_NAMED = regex.compile(r"(?<=\brequested url )\S+(?: \S+)*?(?= was not found)|(?<=\bsorry but )\S+(?: \S+)?(?= doesn't)|(?<=\b(?:this|the) )\S+(?= (?:requires javascript|cannot start without|doesn't work properly))|(?<=\b(?:to view this|to see the) )\S+$")
+_NAME_MARKS = re.compile(r"requested url|requires javascript|cannot start|doesn't work|view this|see the")
+_ODD_TOKEN = regex.compile(r"<\|[^<>|\s]*\|>|(?<!\S)\S*_\S*(?!\S)|[\p{Cf}\p{Cc}]+|(?<![\p{L}\p{N}])[^\p{Han}\p{Hiragana}\p{Katakana}\x00-\x7f](?![\p{L}\p{N}])")
+
 _ASCII_WORDS = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z]+)*")
 
 
@@ -260,16 +234,6 @@ def words_of(text: str) -> list[str]:
 
 
 
-def _pairs(words: list[str]) -> set[tuple[str, str]]:
-    return set(zip(words, words[1:])) | set(zip(words, words[2:]))
-
-
-#: neighbouring words of messages; a unit of messages has many of them, whatever stray tokens stand between
-_MESSAGE_PAIRS = frozenset().union(*(_pairs([w.lower() for w in words_of(m)]) for m in _MESSAGES + _AROUND))
-#: the longest word of each message: a unit without any of them holds no message
-_ANCHORS = frozenset(max((w.lower() for w in words_of(m) if m not in ("*",)), key=len) for m in _MESSAGES)
-
-
 def is_code_text(text: str, source: str | None = None) -> bool:
     return source == "source-code" or len(_CODE_LINE.findall(text)) >= 2 or bool(_CODE_LINE.match(text))
 
@@ -299,33 +263,61 @@ def is_filler(words: list[str]) -> bool:
     return len(strokes) >= 4 and len(strokes) * 10 >= len(words) * 7 and odd * 2 >= len(strokes)
 
 
-def is_message(unit: str, words: list[str]) -> bool:
-    """Whether the unit consists of messages or filler sentences (and what stands around such)."""
-    if unit.startswith("{") and _ERROR_JSON.match(unit):
-        return bool(regex.search(r'"(?:status|code)"\s*:\s*"?[45]\d\d|"error"\s*:', unit))
-    text = unit
-    if "<" in unit:
-        text = _TAG.sub(" ", unit)
-        words = words_of(text.lower())
-    if _ANCHORS.isdisjoint(words) and not _STATUS_DIGITS.search(text):
-        return False
-    # most words of such a unit are words of messages; addresses, ids and file names are the rest
-    if _STATUS_ALONE.match(text):
-        return True
-    status = bool(_STATUS_START.match(text))
-    if not words or _ANCHORS.isdisjoint(words) and not status:
-        return False
-    if len(words) > 6:
-        told = words_of(_TRACES.sub(" ", text).lower())
-        if len(told) > 6 and len(_pairs(told) & _MESSAGE_PAIRS) * 7 < len(set(told)):
-            return False
-    rest = _MESSAGE.sub(" \0 ", text)
-    hits = rest.count("\0")
-    rest = _AROUND_RE.sub(" ", rest.replace("\0", " "))
-    if not hits:
-        return status and len(words_of(rest)) <= 1
-    left = words_of(rest)
-    return len(left) <= 2 and len(left) * 4 <= len(words)
+def message_form(unit: str) -> tuple[str, bool]:
+    """The normal form of a unit without the furniture of served pages, and whether its form alone says that it is an error.
+
+    Sentences that are told twice count once, names and odd tokens are masked. An error by form is a JSON object with an
+    error or status, a status without more, or a page that has nothing but one heading and furniture.
+    """
+    text, told, page = unit, False, False
+    if unit[0] == "{" and _ERROR_JSON.match(unit):
+        text = "\x00".join(_JSON_TEXT.findall(unit))
+        told = bool(text) and bool(_JSON_FAULT.search(unit))
+    elif "<" in unit and _TAG.search(unit):
+        page = unit[:6].lower() in ("<html>", "<html ", "<!doct")
+        text = _TAG.sub("\x00", unit)
+    furniture = 0
+    if _FURNITURE_START.search(text.lower()):
+        text, furniture = _FURNITURE.subn("\x00", text)
+    if "requested URL" in text:
+        text = text.replace("The requested URL", "\x00The requested URL")
+    if not text.isascii() or "_" in text or "<|" in text:
+        text = _ODD_TOKEN.sub(lambda m: "\x00" if m.group() == "\x00" else " ", text)
+    parts = []
+    for mark in _BREAKS:
+        text = text.replace(mark, "\x00")
+    for part in text.split("\x00"):
+        if not part or part.isspace():
+            continue
+        if _STATUS_HEAD.match(part) is None:
+            pass
+        elif (status := _STATUS.match(part)) and status.end() < len(part):
+            part = part[status.end() :]
+            furniture += 1
+        elif _STATUS_ALONE.match(part):
+            told = True
+        form = _bare(words_of(part.lower()))
+        if (" js" in form or "javascript" in form or " url " in form or "scripts" in form or " to see the " in form) and _NAME_MARKS.search(form):
+            form = " ".join(_NAMED.sub("", form).split())
+        if form and form not in parts:
+            parts.append(form)
+    if len(parts) > 1 and _URL_NOTICE in parts:
+        parts.remove(_URL_NOTICE)
+    return " ".join(parts), told and len(parts) <= 2 or page and furniture > 0 and len(parts) == 1
+
+
+def _bare(words: list[str]) -> str:
+    """Words without numbers, where at least two others are left; Latin text without single words of another script."""
+    text = " ".join(words)
+    if text.isascii() and not _DIGIT.search(text):
+        return text
+    kept = [w for w in words if not w[0].isdigit()]
+    if len(kept) < 2:
+        kept = words
+    latin = [w for w in kept if w[0] < "\u0250"]
+    if len(latin) >= 3 and len(kept) - len(latin) <= 4:
+        kept = latin
+    return normal_words(kept)
 
 
 def places_in(unit: str, code: bool) -> list[str]:
@@ -346,7 +338,7 @@ def places_in(unit: str, code: bool) -> list[str]:
 
 
 def units_of(text: str, source: str | None = None) -> list[tuple[str, list[str], bool]]:
-    """(normal form, unfilled places, whether it is residue as a whole) of every unit of a text."""
+    """(form, unfilled places, whether it is residue as a whole by its form) of every unit of a text."""
     code = is_code_text(text, source)
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
@@ -360,7 +352,7 @@ def units_of(text: str, source: str | None = None) -> list[tuple[str, list[str],
         if code:
             bare = _COMMENT.sub("", _COMMENT.sub("", line)) if comment else line
             if comment and _WORK_NOTE.match(bare.strip()):
-                out.append((normal_form(bare), [], False))
+                out.append((message_form(bare)[0], [], False))
                 continue
             clean = _TICKS.sub(" \x01 ", bare) if comment else _LITERAL.sub('""', bare)
             note = _END_NOTE.search(clean)
@@ -375,12 +367,15 @@ def units_of(text: str, source: str | None = None) -> list[tuple[str, list[str],
         whole = False
         if code and not comment and "'" in line and '"' not in line and "`" not in line:
             unit = value = _LIST_MARK.sub("", line).strip()  # a message with apostrophes, or a line of code that is none
-        words = words_of(unit.lower())
-        for part, told in [(unit, words)] if value is unit else [(unit, words), (value, words_of(value.lower()))]:
+        parts = [unit] if value is unit or not value else [unit, value]
+        forms = []
+        for part in parts:
             low = part.lower().strip(" .:;!*_") if part.lower() not in _EMPTY_UNITS else part.lower()
             if not (code and not comment) and (part.lower() in _EMPTY_UNITS or low in _EMPTY_UNITS):
                 whole = whole or not (code and low in ("todo", "fixme", "undefined", "null"))
-            whole = whole or is_filler(told) or is_message(part, told)
+            form, told = message_form(part)
+            forms.append((form, told))
+            whole = whole or told or is_filler(form.split(" "))
         spoken = _USAGE.sub(" ", unit) if ":" in unit else unit
         if (not code or comment) and _QUOTES.search(spoken):
             spoken = _QUOTED.sub(" \x01 ", spoken) if len(_QUOTED.sub("", spoken).strip()) > 2 else spoken
@@ -389,10 +384,12 @@ def units_of(text: str, source: str | None = None) -> list[tuple[str, list[str],
             places = [m.group() for m in _CODE_PLACES.finditer(spoken)]
         elif code and not places:
             places = [m.group() for m in _CODE_NAME.finditer(spoken)]
-        normal = normal_words(words)
+        normal = forms[0][0]
         if not normal and whole:  # marks only, as a row of question marks
             normal = "place: " + unit
         out.append((normal, places, whole))
+        if len(forms) > 1 and forms[1][0]:  # the value of a field is a unit of its own
+            out.append((forms[1][0], [], forms[1][1]))
     return out
 
 

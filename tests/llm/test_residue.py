@@ -1,13 +1,26 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from linkloom.llm import residue
-from linkloom.llm.residue_rules import normal_form, units_of
+from linkloom.llm.residue_rules import SEEDS, message_form, units_of
+
+SEED_FORMS = {message_form(s)[0] for s in SEEDS}
 
 
 def is_residue(text, source=None):
-    return any(places or whole for _, places, whole in units_of(text, source))
+    """By its form, or as a copy of a seed."""
+    return any(places or whole or form in SEED_FORMS for form, places, whole in units_of(text, source))
+
+
+def near(spark, texts, trusted):
+    """Keys of the texts that are not ``trusted`` (numbers of texts) and are linked to one that is."""
+    rows = {residue._key(t): (residue._key(t), t, i in trusted) for i, t in reversed(list(enumerate(texts)))}
+    prints = residue.near_prints(spark.createDataFrame(list(rows.values()), "unit bigint, normal string, trusted boolean")).filter("n >= 4").cache()
+    masks = residue.selections(prints.filter("high is not null").count())
+    return {r.unit for r in residue.near_units(prints.filter("trusted"), prints.filter("not trusted"), masks).collect()}
 
 
 RESIDUE = [
@@ -48,50 +61,69 @@ def test_code(texts, expected):
     assert [is_residue(t, "source-code") for t in texts] == [expected] * len(texts)
 
 
-def test_near_duplicates_meet_in_the_tables(spark):
-    """Recall of the tables against brute force over all pairs."""
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(400)]
-    texts = []
-    for _ in range(60):
-        base = [rng.choice(words) for _ in range(rng.randint(40, 90))]
-        texts.append(" ".join(base))
-        for _ in range(4):
-            near = list(base)
-            near[rng.randrange(len(near))] = rng.choice(words)
-            texts.append(" ".join(near))
-    df = spark.createDataFrame([(residue._key(t), t, i % 5 == 0) for i, t in enumerate(texts)], "unit bigint, normal string, trusted boolean").dropDuplicates(["unit"])
-    tables = residue.simhash_tables(df).cache()
-    found = {r.unit for r in residue.near_units(tables.filter("trusted"), tables.filter("not trusted")).collect()}
-    seeds = [t for i, t in enumerate(texts) if i % 5 == 0]
-    expected = {residue._key(t) for i, t in enumerate(texts) if i % 5 and any(residue.jaccard(t, s) >= residue.SIMILARITY for s in seeds)}
+@pytest.mark.parametrize("words_of_a_unit", [(36, 45), (60, 200)])
+@pytest.mark.parametrize("units", [None, 10**7])
+def test_near_duplicates_meet_in_the_tables(spark, monkeypatch, words_of_a_unit, units):
+    """Recall of fingerprints and prefixes at a similarity of 0.8 to 0.85, against brute force, also with keys as long as for many units."""
+    rng, vocabulary, texts = random.Random(5), [f"w{i}" for i in range(4000)], []
+    if units:
+        made = residue.selections(units)
+        monkeypatch.setattr(residue, "selections", lambda n: made)
+    while len(texts) < 400:
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(*words_of_a_unit))]
+        other = base[: round(len(base) * rng.uniform(0.82, 0.9))] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 6))]
+        if 0.8 <= residue.jaccard(" ".join(base), " ".join(other)) <= 0.85:
+            texts += [" ".join(base), " ".join(other)]
+    trusted = set(range(0, len(texts), 2))
+    expected = {residue._key(t) for i, t in enumerate(texts) if i % 2}
+    found = near(spark, texts, trusted)
     assert found <= expected and len(found) >= 0.9 * len(expected) > 100
 
 
-def test_every_colliding_unit_is_compared(spark):
-    """A nearer labelled unit that fails the text check hides no farther one of the same bucket that passes it."""
-    normal = " ".join(f"w{i}" for i in range(20))
-    near, far = normal + " x", "other " + " ".join(f"v{i}" for i in range(19))
-    rows = [(1, normal, False, 16, 0, 0, [7]), (2, far, True, 16, 0, 1, [7]), (3, near, True, 17, 0, 7, [7])]
-    df = spark.createDataFrame(rows, "unit bigint, normal string, trusted boolean, shingles int, high bigint, low bigint, bands array<int>")
-    assert [r.unit for r in residue.near_units(df.filter("trusted"), df.filter("not trusted")).collect()] == [1]
+def test_fingerprints_against_brute_force():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "b", "ä", "日", "z1"]) for _ in range(n)) for n in (1, 4, 5, 6, 40, 41, 300)]
+    hashes, sizes = residue.shingle_sets(pa.array(texts))
+    assert sizes.tolist() == [len(residue.shingles(t)) if len(t.split(" ")) >= 5 else 0 for t in texts]
+    at = np.cumsum(sizes) - sizes
+    some = residue.fingerprints(hashes, sizes[2:])
+    for i, n, made in zip(at[2:], sizes[2:], some):
+        for word, values in enumerate((hashes[i : i + n], residue._mixed(hashes[i : i + n] ^ np.uint64(0x9E3779B97F4A7C15)))):
+            bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > n
+            assert np.packbits(bits).view(np.uint64)[0] == made[word]
+
+
+def test_no_labelled_unit_of_a_crowded_bucket_is_passed_over(spark, monkeypatch):
+    """Many labelled units share a key with a unit that only one of them is near to."""
+    monkeypatch.setattr(residue, "FIRST", 1)
+    base = [f"w{i}" for i in range(12)]
+    others = [base[:5] + [f"x{i}y{j}" for j in range(7)] for i in range(30)]
+    texts = [" ".join(w) for w in [base, [*base, "end"], *others]]
+    assert near(spark, texts, set(range(1, len(texts)))) == {residue._key(texts[0])}
 
 
 def test_short_units_at_the_least_similarity_meet(spark):
     """Units of 8 to 25 words: all pairs of exactly 0.8 are found, none below it."""
     rng = random.Random(7)
-    rows, expected = [], set()
+    texts, expected = [], set()
     for i in range(1600):
         k, pair = i % 4 + 1, f"u{i}x"
         base = [f"{pair}{rng.randrange(10**6)}" for _ in range(4 * k + 4)]
-        near = base + [f"{pair}e{j}" for j in range(k + i // 4 % 2)]  # 4k of 5k shingles, or of 5k + 1
-        a, b = " ".join(base), " ".join(near)
-        assert (residue.jaccard(a, b) == 0.8) == (len(near) == 5 * k + 4)
-        rows += [(residue._key(a), a, True), (residue._key(b), b, False)]
-        expected |= {residue._key(b)} if len(near) == 5 * k + 4 else set()
-    tables = residue.simhash_tables(spark.createDataFrame(rows, "unit bigint, normal string, trusted boolean")).cache()
-    found = {r.unit for r in residue.near_units(tables.filter("trusted"), tables.filter("not trusted")).collect()}
-    assert found == expected
+        other = base + [f"{pair}e{j}" for j in range(k + i // 4 % 2)]  # 4k of 5k shingles, or of 5k + 1
+        a, b = " ".join(base), " ".join(other)
+        assert (residue.jaccard(a, b) == 0.8) == (len(other) == 5 * k + 4)
+        texts += [a, b]
+        expected |= {residue._key(b)} if len(other) == 5 * k + 4 else set()
+    assert near(spark, texts, set(range(0, len(texts), 2))) == expected
+
+
+def test_labels_from_one_document_reach_others(spark):
+    """A message that no seed holds: an error object labels it, links carry the label to copies and near forms."""
+    message = "Frobnication of the outer ledger could not be carried out by the night shift of the second vault keeper"
+    texts = ['{"error":"%s","status":503,"id":"9a"}' % message, message + ".", message + " today", "Loading... " + message, "The ledger is kept by the night shift.", "JavaScript is disabled in your browser. Turn it on and reload."]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in residue.residue_documents(df).collect()} == {0, 1, 2, 3, 5}
+    assert {(r.evidence, r.documents) for r in residue.residue_report(df).collect()} == {("form", 1), ("equal", 2), ("near", 1), ("seed", 1)}
 
 
 def test_labels_spread_over_a_chain_and_copies_come_out(spark):
@@ -110,6 +142,6 @@ def test_labels_spread_over_a_chain_and_copies_come_out(spark):
     direct = {i for i, t in enumerate(texts) if t and is_residue(t)}
     assert direct <= found and {11, 12} <= found and not found & {7, 8, 9, 10, 13}
     for i in range(1, 7):
-        if residue.jaccard(*(normal_form(texts[j]) for j in (i - 1, i))) >= residue.SIMILARITY and i - 1 in found:
+        if residue.jaccard(*(message_form(texts[j])[0] for j in (i - 1, i))) >= residue.SIMILARITY and i - 1 in found:
             assert i in found
     assert residue.residue_documents(df.limit(0)).collect() == []
