@@ -223,7 +223,9 @@ _BREAKS = (". ", "! ", "? ", "… ", "。", " - ", " – ", " — ", " | ")
 #: names in notices about scripts: any one word stands in their place
 _NAMED = regex.compile(r"(?<=\brequested url )\S+(?: \S+)*?(?= was not found)|(?<=\bsorry but )\S+(?: \S+)?(?= doesn't)|(?<=\b(?:this|the) )\S+(?= (?:requires javascript|cannot start without|doesn't work properly))|(?<=\b(?:to view this|to see the) )\S+$")
 _NAME_MARKS = re.compile(r"requested url|requires javascript|cannot start|doesn't work|view this|see the")
-_ODD_TOKEN = regex.compile(r"<\|[^<>|\s]*\|>|(?<!\S)\S*_\S*(?!\S)|[\p{Cf}\p{Cc}]+|(?<![\p{L}\p{N}])[^\p{Han}\p{Hiragana}\p{Katakana}\x00-\x7f](?![\p{L}\p{N}])")
+_SPACES = re.compile(r" {2,}")
+_ODD_MARKS = re.compile(r"_|<\||0x|@v|[-=]>")
+_ODD_TOKEN = regex.compile(r"(?<!\S)(?:0x[0-9A-Fa-f]+|@v\d\S*|[-=]>)(?!\S)|<\|[^<>|\s]*\|>|(?<!\S)\S*_\S*(?!\S)|[\p{Cf}\p{Cc}]+|(?<![\p{L}\p{N}])[^\p{Han}\p{Hiragana}\p{Katakana}\x00-\x7f©…。–—](?![\p{L}\p{N}])")
 
 _ASCII_WORDS = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z]+)*")
 
@@ -277,13 +279,13 @@ def message_form(unit: str) -> tuple[str, bool]:
         page = unit[:6].lower() in ("<html>", "<html ", "<!doct")
         text = _TAG.sub("\x00", unit)
     furniture = 0
+    if not text.isascii() or _ODD_MARKS.search(text):
+        text = _SPACES.sub(" ", _ODD_TOKEN.sub(lambda m: "\x00" if m.group() == "\x00" else " ", text))
     if _FURNITURE_START.search(text.lower()):
         text, furniture = _FURNITURE.subn("\x00", text)
     if "requested URL" in text:
         text = text.replace("The requested URL", "\x00The requested URL")
-    if not text.isascii() or "_" in text or "<|" in text:
-        text = _ODD_TOKEN.sub(lambda m: "\x00" if m.group() == "\x00" else " ", text)
-    parts = []
+    parts: list[str] = []
     for mark in _BREAKS:
         text = text.replace(mark, "\x00")
     for part in text.split("\x00"):
@@ -364,18 +366,20 @@ def units_of(text: str, source: str | None = None) -> list[tuple[str, list[str],
             continue
         label = None if code else _LABEL.match(unit)
         value = unit[label.end() :].strip() if label else unit
-        whole = False
         if code and not comment and "'" in line and '"' not in line and "`" not in line:
             unit = value = _LIST_MARK.sub("", line).strip()  # a message with apostrophes, or a line of code that is none
-        parts = [unit] if value is unit or not value else [unit, value]
         forms = []
-        for part in parts:
+        for part in [unit] if value is unit or not value else [unit, value]:  # the value of a field is a unit of its own
             low = part.lower().strip(" .:;!*_") if part.lower() not in _EMPTY_UNITS else part.lower()
-            if not (code and not comment) and (part.lower() in _EMPTY_UNITS or low in _EMPTY_UNITS):
-                whole = whole or not (code and low in ("todo", "fixme", "undefined", "null"))
-            form, told = message_form(part)
-            forms.append((form, told))
-            whole = whole or told or is_filler(form.split(" "))
+            form, whole = message_form(part)
+            if code and (not comment and " " not in form or low in ("todo", "fixme", "undefined", "null")):
+                form = "code: " + form  # a word of the language, no copy of a stand-in
+            elif part.lower() in _EMPTY_UNITS or low in _EMPTY_UNITS:
+                whole = whole or not code or comment
+            whole = whole or is_filler(form.split(" "))
+            if not form and whole:  # marks only, as a row of question marks
+                form = "place: " + part
+            forms.append((form, [], whole))
         spoken = _USAGE.sub(" ", unit) if ":" in unit else unit
         if (not code or comment) and _QUOTES.search(spoken):
             spoken = _QUOTED.sub(" \x01 ", spoken) if len(_QUOTED.sub("", spoken).strip()) > 2 else spoken
@@ -384,12 +388,8 @@ def units_of(text: str, source: str | None = None) -> list[tuple[str, list[str],
             places = [m.group() for m in _CODE_PLACES.finditer(spoken)]
         elif code and not places:
             places = [m.group() for m in _CODE_NAME.finditer(spoken)]
-        normal = forms[0][0]
-        if not normal and whole:  # marks only, as a row of question marks
-            normal = "place: " + unit
-        out.append((normal, places, whole))
-        if len(forms) > 1 and forms[1][0]:  # the value of a field is a unit of its own
-            out.append((forms[1][0], [], forms[1][1]))
+        forms[0] = (forms[0][0], places, forms[0][2])
+        out += [f for f in forms if f[0] or f[1]]
     return out
 
 
