@@ -8,6 +8,7 @@ a corpus meet them, and one another, as equal or near forms.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -58,6 +59,8 @@ _PROSE_PLACES = regex.compile(
 )
 _PROSE_MARKS = re.compile(r"[$#{%<?？○●◯＿]|__|…{3}|\[\[(?!REQ-|docs/)|XX")
 _PLACE_MARKS = re.compile(r"\[(?!\[)|［|<[%A-Za-zÀ-žａ-ｚこ]|&lt;|@@|__[A-Z]|\{\{|\{%|lick (?:or tap )?here|[(（](?=[^()]{0,8}(?:to be|à v|à c|text|pend|por|do u|noch|wird|folg|未|後))", re.IGNORECASE)
+#: characters without which neither can match
+_PLACE_CHARS, _PROSE_CHARS = frozenset("[［<&@_{(（"), frozenset("$#{%<?？○●◯＿_…[X")
 _CODE_PLACES = regex.compile(r"\[\[\s*[A-Za-z]\w*\s*\]\]|<<\s*\w[\w ]*>>|(?<![\w$])\$[A-Z][A-Z_]{2,}\$|(?<![\w%])%[A-Z][A-Z_]{2,}%|[$#]\{[A-Za-z][\w.]*\}")
 _MENTION_BEFORE = regex.compile(r"\b(?:to be|is|are|was|were|be|called|says?|said|marked|word|mark|reads?|as|means|like|write|writes)\s*$", regex.IGNORECASE)
 _OPEN_WORDS = regex.compile(r"(?<![\w-])(?:TBD|TBC|TBA)(?![\w-])|\[object Object\]")
@@ -209,8 +212,8 @@ _FURNITURE = regex.compile(
     regex.IGNORECASE,
 )
 #: a line (in lower case) without any of these has no furniture
-_FURNITURE_MARKS = ("request id", "reference", "code=", ".js:", ".ts:", "/1.", "/2.", "/3.", "/4.", "/5.", "/6.", "/7.", "/8.", "/9.", "/0.", "©", "back |", "home page", "reloading", "administrator", "unexpected", "skip to", "sign in", "loading", "please wait")
-_FURNITURE_START = re.compile("|".join(map(re.escape, _FURNITURE_MARKS)))
+_FURNITURE_MARKS = ("request id", "reference", "code=", ".js:", ".ts:", "©", "back |", "home page", "reloading", "administrator", "unexpected", "skip to", "sign in", "loading", "please wait")
+_SERVER = re.compile(r"/\d+\.")
 _URL_NOTICE = "the requested url was not found on this server"
 _STATUS = regex.compile(r"^\s*(?:HTTP(?:/\d(?:\.\d)?)?\s*(?:Status|Error)?\s*)?(?:Error\s*)?[45]\d\d(?!\d)\s*[:–—-]?\s+", regex.IGNORECASE)
 _STATUS_HEAD = re.compile(r"\s*(?:[45]\d\d|HTTP|Err|Fehler|Błąd|エラー)", re.IGNORECASE)
@@ -281,7 +284,8 @@ def message_form(unit: str) -> tuple[str, bool]:
     furniture = 0
     if not text.isascii() or _ODD_MARKS.search(text):
         text = _SPACES.sub(" ", _ODD_TOKEN.sub(lambda m: "\x00" if m.group() == "\x00" else " ", text))
-    if _FURNITURE_START.search(text.lower()):
+    low = text.lower()
+    if "/" in low and _SERVER.search(low) or any([mark in low for mark in _FURNITURE_MARKS]):
         text, furniture = _FURNITURE.subn("\x00", text)
     if "requested URL" in text:
         text = text.replace("The requested URL", "\x00The requested URL")
@@ -325,11 +329,11 @@ def _bare(words: list[str]) -> str:
 def places_in(unit: str, code: bool) -> list[str]:
     """The unfilled places of a unit from which code, quotes and usage lines were taken out."""
     found = []
-    if _PLACE_MARKS.search(unit):
+    if not (_PLACE_CHARS.isdisjoint(unit) and "lick" not in unit) and _PLACE_MARKS.search(unit):
         found = [m.group() for m in _PLACES.finditer(unit)] + [m.group() for m in _PLACES_ANY_CASE.finditer(unit)]
     if code:
         return found
-    for m in _PROSE_PLACES.finditer(unit) if _PROSE_MARKS.search(unit) else ():
+    for m in _PROSE_PLACES.finditer(unit) if not _PROSE_CHARS.isdisjoint(unit) and _PROSE_MARKS.search(unit) else ():
         if m.group()[0] == "<" and m.group()[1] != "<" and ("</" in unit or _MARKUP.fullmatch(m.group())):
             continue
         found.append(m.group())
@@ -339,60 +343,71 @@ def places_in(unit: str, code: bool) -> list[str]:
     return found
 
 
-def units_of(text: str, source: str | None = None) -> list[tuple[str, list[str], bool]]:
-    """(form, unfilled places, whether it is residue as a whole by its form) of every unit of a text."""
+#: form, unfilled places, whether the unit is residue as a whole by its form
+Unit = tuple[str, tuple[str, ...], bool]
+
+
+def units_of(text: str, source: str | None = None) -> list[Unit]:
+    """Every unit of a text."""
     code = is_code_text(text, source)
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
     if not code and "`" in text:
         text = _TICKS.sub(" \x01 ", text)
-    out = []
+    out: list[Unit] = []
     for line in _LINES.split(text):
-        if not line.strip():
-            continue
-        comment = code and bool(_COMMENT_LINE.match(line))
-        if code:
-            bare = _COMMENT.sub("", _COMMENT.sub("", line)) if comment else line
-            if comment and _WORK_NOTE.match(bare.strip()):
-                out.append((message_form(bare)[0], [], False))
-                continue
-            clean = _TICKS.sub(" \x01 ", bare) if comment else _LITERAL.sub('""', bare)
-            note = _END_NOTE.search(clean)
-            clean = clean[: note.start()] if note else clean
-        else:
-            clean = line
-        unit = _LIST_MARK.sub("", clean).strip()
-        if not unit:
-            continue
-        label = None if code else _LABEL.match(unit)
-        value = unit[label.end() :].strip() if label else unit
-        if code and not comment and "'" in line and '"' not in line and "`" not in line:
-            unit = value = _LIST_MARK.sub("", line).strip()  # a message with apostrophes, or a line of code that is none
-        forms = []
-        for part in [unit] if value is unit or not value else [unit, value]:  # the value of a field is a unit of its own
-            low = part.lower().strip(" .:;!*_") if part.lower() not in _EMPTY_UNITS else part.lower()
-            form, whole = message_form(part)
-            if code and (not comment and " " not in form or low in ("todo", "fixme", "undefined", "null")):
-                form = "code: " + form  # a word of the language, no copy of a stand-in
-            elif part.lower() in _EMPTY_UNITS or low in _EMPTY_UNITS:
-                whole = whole or not code or comment
-            whole = whole or is_filler(form.split(" "))
-            if not form and whole:  # marks only, as a row of question marks
-                form = "place: " + part
-            forms.append((form, [], whole))
-        spoken = _USAGE.sub(" ", unit) if ":" in unit else unit
-        if (not code or comment) and _QUOTES.search(spoken):
-            spoken = _QUOTED.sub(" \x01 ", spoken) if len(_QUOTED.sub("", spoken).strip()) > 2 else spoken
-        places = places_in(spoken, code)
-        if code and not places and comment:
-            places = [m.group() for m in _CODE_PLACES.finditer(spoken)]
-        elif code and not places:
-            places = [m.group() for m in _CODE_NAME.finditer(spoken)]
-        forms[0] = (forms[0][0], places, forms[0][2])
-        out += [f for f in forms if f[0] or f[1]]
+        if line and not line.isspace():
+            out += _known_line(line, code) if len(line) <= KEPT_LINE else _line_units(line, code)
     return out
 
 
+def _line_units(line: str, code: bool) -> tuple[Unit, ...]:
+    comment = code and bool(_COMMENT_LINE.match(line))
+    if code:
+        bare = _COMMENT.sub("", _COMMENT.sub("", line)) if comment else line
+        if comment and _WORK_NOTE.match(bare.strip()):
+            return ((message_form(bare)[0], (), False),)
+        clean = _TICKS.sub(" \x01 ", bare) if comment else _LITERAL.sub('""', bare)
+        note = _END_NOTE.search(clean)
+        clean = clean[: note.start()] if note else clean
+    else:
+        clean = line
+    unit = _LIST_MARK.sub("", clean).strip()
+    if not unit:
+        return ()
+    label = None if code else _LABEL.match(unit)
+    value = unit[label.end() :].strip() if label else unit
+    if code and not comment and "'" in line and '"' not in line and "`" not in line:
+        unit = value = _LIST_MARK.sub("", line).strip()  # a message with apostrophes, or a line of code that is none
+    forms = []
+    for part in [unit] if value is unit or not value else [unit, value]:  # the value of a field is a unit of its own
+        low = part.lower().strip(" .:;!*_") if part.lower() not in _EMPTY_UNITS else part.lower()
+        form, whole = message_form(part)
+        if code and (not comment and " " not in form or low in ("todo", "fixme", "undefined", "null")):
+            form = "code: " + form  # a word of the language, no copy of a stand-in
+        elif part.lower() in _EMPTY_UNITS or low in _EMPTY_UNITS:
+            whole = whole or not code or comment
+        whole = whole or is_filler(form.split(" "))
+        if not form and whole:  # marks only, as a row of question marks
+            form = "place: " + part
+        forms.append((form, (), whole))
+    spoken = _USAGE.sub(" ", unit) if ":" in unit else unit
+    if (not code or comment) and _QUOTES.search(spoken):
+        spoken = _QUOTED.sub(" \x01 ", spoken) if len(_QUOTED.sub("", spoken).strip()) > 2 else spoken
+    places = places_in(spoken, code)
+    if code and not places and comment:
+        places = [m.group() for m in _CODE_PLACES.finditer(spoken)]
+    elif code and not places:
+        places = [m.group() for m in _CODE_NAME.finditer(spoken)]
+    forms[0] = (forms[0][0], tuple(places), forms[0][2])
+    return tuple(f for f in forms if f[0] or f[1])
+
+
+#: lines come again from text to text, so a worker keeps what it made of them; longer ones are not kept
+KEPT_LINE = 300
+_known_line = functools.lru_cache(maxsize=100_000)(_line_units)
+
+
 def normal_words(words: list[str]) -> str:
     """Words in lower case as one text, numbers and long hexadecimal ids as 0."""
     text = " ".join(words)
