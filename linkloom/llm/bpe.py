@@ -7,6 +7,7 @@ closes the gaps; words without a mergeable pair leave the array. Words are cache
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 
@@ -49,6 +50,11 @@ class BytePairEncoder:
         self.split = regex.compile(WORDS)
         self._forget()
 
+    @functools.cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The rank of each mergeable pair, for words that are merged one by one."""
+        return dict(zip(self.keys.tolist(), self.ranks.tolist()))
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.int32)
@@ -65,7 +71,7 @@ class BytePairEncoder:
         symbols = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
         size = len(symbols)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        rank_of = self.rank_of
         queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(size - 1) if (r := rank_of.get(symbols[i] * self.size + symbols[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
