@@ -46,8 +46,11 @@ _FUNCTION = regex.compile(
     regex.VERBOSE,
 )
 
+#: what stands for a function that is declared only, or cut off: all of its code
+_DECLARED = regex.compile(r"(?:(?P<doc>/\*\*(?!/)[\s\S]*?\*/))?+(?:\s|/\*[\s\S]*?\*/|//[^\n]*(?:\n|\Z))*+(?P<signature>\S[\s\S]*)(?P<body>)")
+_BRACKET = regex.compile(_PARTS + r"(?&text)|(?&note)|[(){}]", regex.VERBOSE)
+_OTHER_END = {"(": ")", "{": "}"}
 _LEADING = regex.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\n]*(?:\n|\Z))*+")
-_HEAD_DOC = regex.compile(r"\s*+(?P<doc>/\*\*(?!/)[\s\S]*?\*/)")
 _MARKS = regex.compile(r"[\s/*]+")
 
 #: at the start of a line, or after a sentence where the lines were joined
@@ -111,39 +114,63 @@ def is_trivial(comment: str | None, name: str | None, least: int = 3) -> bool:
     return len(own_words(comment, name)) < least
 
 
+def _balanced(text: str) -> str:
+    """``text`` with every bracket that has no partner as a blank, so that no search runs to its end in vain."""
+    stack: list[tuple[str, int]] = []
+    lost: list[int] = []
+    for token in _BRACKET.finditer(text):
+        mark = token.group()
+        if mark in _OTHER_END:
+            stack.append((_OTHER_END[mark], token.start()))
+        elif mark in (")", "}"):
+            if not any(wanted == mark for wanted, _ in stack[-2:]):
+                lost.append(token.start())
+                continue
+            while stack[-1][0] != mark:
+                lost.append(stack.pop()[1])
+            stack.pop()
+    lost += [at for _, at in stack]
+    if not lost:
+        return text
+    marks = list(text)
+    for at in lost:
+        marks[at] = " "
+    return "".join(marks)
+
+
 def functions_in(source: str | None) -> list[dict]:
     """Every function or method of a source text: doc (or None), signature and body, in order, nested ones included."""
-    found, at, text = [], 0, source or ""
+    found, at, text = [], 0, _balanced(source or "")
     while match := _FUNCTION.search(text, at):
         found.append({"doc": match["doc"], "signature": match["signature"].strip(), "body": match["body"].strip()})
         at = match.start("body") + 1
     return found
 
 
+def _as_comment(documentation: str) -> str:
+    """The text of a documentation column as the doc comment it was taken from."""
+    text = documentation.strip()
+    inner = text[3:-2] if text.startswith("/**") and text.endswith("*/") and len(text) > 4 else text
+    return "/**\n" + inner.replace("*/", "* /") + "\n*/"
+
+
 def pair(name: str | None, documentation: str | None, source: str | None) -> tuple | None:
     """(documentation, signature, body) of one function, or None where code or telling documentation is missing.
 
-    ``documentation`` counts unless nothing but comment marks is left of it; then the doc comment at the head of
-    ``source`` does. Code is what stands in ``source`` beyond leading comments; a function without a balanced body
-    (declared only, or cut off) has all of it as signature.
+    The three are captured together from the text of the function below its doc comment. That comment is
+    ``documentation`` unless nothing but comment marks is left of it; then it is the one at the head of ``source``.
+    Code is what stands in ``source`` beyond leading comments; a function without a balanced body (declared only, or
+    cut off) has all of it as signature.
     """
-    text = source or ""
-    code = text[_LEADING.match(text).end() :].strip()
-    if not code:
-        return None
+    text = (source or "").strip()
+    told = bool(_MARKS.sub("", documentation or ""))
+    if told:
+        text = _as_comment(documentation) + "\n" + text[_LEADING.match(text).end() :]
     # a layout that breaks a string over lines is mended by the second try
-    match = _FUNCTION.match(text, len(text) - len(text.lstrip())) or _FUNCTION.match(" ".join(text.split()))
-    if _MARKS.sub("", documentation or ""):
-        doc = documentation
-    else:
-        head = match["doc"] if match else None
-        if head is None:
-            found = _HEAD_DOC.match(text)
-            head = found["doc"] if found else None
-        doc = head
-    if is_trivial(doc, name):
+    match = _FUNCTION.match(text) or _FUNCTION.match(" ".join(text.split())) or _DECLARED.match(text)
+    if not match or is_trivial(match["doc"], name):
         return None
-    return doc, (match["signature"].strip() if match else code), (match["body"].strip() if match else None)
+    return documentation if told else match["doc"], match["signature"].strip(), match["body"].strip() or None
 
 
 def newest_snapshots(commits: DataFrame) -> DataFrame:
@@ -178,3 +205,27 @@ def documented_functions(symbols: DataFrame, commits: DataFrame) -> DataFrame:
     # a symbol that is listed with several texts comes out once, with the last of them
     image = F.max(F.struct("documentation", "signature", "body")).alias("p")
     return pairs.groupBy("repositoryCommit", "symbolId").agg(image).select("repositoryCommit", "symbolId", "p.*")
+
+
+_NAME = regex.compile(r"(?:const|let|var)\s+([\w$]+)|([#\w$]+)\s*(?:<|\()")
+
+
+def documented_in_files(files: DataFrame) -> DataFrame:
+    """Pairs of whole source files (doc_id, text): doc_id, place (of the function in its file, from 1), name, documentation, signature, body.
+
+    Functions without a doc comment or with a trivial one are dropped; null, empty and blank files give no rows.
+    """
+    schema = T.StructType([files.schema["doc_id"], T.StructField("place", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("name", "documentation", "signature", "body")]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                for place, f in enumerate(functions_in(text), 1):
+                    named = _NAME.search(f["signature"])
+                    name = named and (named[1] or named[2])
+                    if f["doc"] and not is_trivial(f["doc"], name):
+                        out.append((doc_id, place, name, f["doc"], f["signature"], f["body"]))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return files.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInPandas(run, schema)

@@ -25,6 +25,11 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.documented_functions(_table(spark, sf_dir, "symbol_index"), _table(spark, sf_dir, "commits"))
 
 
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the documents that are source files."""
+    return pairs.documented_in_files(spread(_table(spark, sf_dir, "documents").filter("source = 'source-code'")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(spread(_table(spark, sf_dir, "documents")))
 
@@ -49,7 +54,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_report(spread(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_files": p5_files, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_order": p7_order, "p8_found": p8_found, "p8_report": p8_report}
 _P3 = f"""
 WITH items AS (
   SELECT {_requirement("requirementId")} AS requirementId, configurationId, repositoryCommit, c.rank AS r, c.score AS s, {_symbol("c.symbolId")} AS symbolId

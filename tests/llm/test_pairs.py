@@ -1,6 +1,10 @@
+import time
+
 import pytest
+import regex
 
-from linkloom.llm.pairs import documented_functions, functions_in, is_trivial, own_words, pair
+from linkloom.llm import pairs
+from linkloom.llm.pairs import documented_functions, documented_in_files, functions_in, is_trivial, own_words, pair
 
 SOURCE = '''
 /** Adds two numbers, whatever "{" they hold. */
@@ -24,6 +28,19 @@ def test_functions_with_strings_comments_and_nesting():
     assert functions_in(None) == [] and functions_in("x = {") == []
 
 
+def test_unbalanced_text_takes_no_long_search():
+    begun = time.perf_counter()
+    assert functions_in("f(" * 20_000) == [] and functions_in("f() {" * 5_000) == []
+    assert [f["signature"] for f in functions_in("(" * 5_000 + "\nfunction last(a) { return 1; }")] == ["function last(a)"]
+    assert time.perf_counter() - begun < 20
+
+
+def test_pairs_come_from_the_pattern(monkeypatch):
+    monkeypatch.setattr(pairs, "_FUNCTION", regex.compile(r"(?!)"))
+    monkeypatch.setattr(pairs, "_DECLARED", regex.compile(r"(?!)"))
+    assert pair("walk", "Says what it does in words.", "walk() { }") is None
+
+
 @pytest.mark.parametrize(
     ("comment", "name", "trivial"),
     [
@@ -62,3 +79,9 @@ def test_rows_of_the_newest_snapshots(spark):
     found = documented_functions(df, commits).collect()
     assert sorted((r.repositoryCommit, r.symbolId) for r in found) == [("c2", "ts:a/f"), ("d1", "long"), ("d1", "m")]
     assert documented_functions(df.limit(0), commits).collect() == [] and documented_functions(df, commits.limit(0)).collect() == []
+
+
+def test_pairs_of_files(spark):
+    df = spark.createDataFrame([(1, SOURCE), (2, None), (3, ""), (4, "/** Says a lot of things. */ function cut(a) {"), (5, "/** Add. */ function add(a) { return a; }")], "doc_id bigint, text string")
+    found = documented_in_files(df).collect()
+    assert [(r.doc_id, r.place, r.name) for r in found] == [(1, 1, "add"), (1, 2, "size")] and found[1].body == '{ if (x) { return "}" } return 1; }'
