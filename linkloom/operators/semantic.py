@@ -16,6 +16,8 @@ from linkloom.functions import ids, vectors
 
 #: queries of a block and items of a part, on average; both lie in memory as one matrix each
 QUERY_BLOCK, ITEM_PART = 256, 20_000
+#: bytes of queries that go to every task at most; items, and scores, that are made at once there
+QUERY_BYTES, ITEM_SLICE, SCORES = 32 << 20, 1_024, 4 << 20
 
 
 def symbol_text(kind: Column, qualified: Column, path: Column, signature: Column, documentation: Column, source: Column) -> Column:
@@ -66,14 +68,20 @@ def pruned_cache(cache: DataFrame, needed: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` items of the greatest cosine for every query: query, rank, item, score (rounded to nine digits).
 
-    ``queries`` has query and vector, ``items`` item and vector, both ids of type bigint. Every block of queries meets
-    every part of the items in a task of its own, as two matrices; only the k best of a task are shuffled. Negative
-    scores stay; ties are settled by item. Null ids or vectors, and vectors of another length than the block's first,
-    do not count; a zero vector has a cosine of 0 with all.
+    ``queries`` has query and vector, ``items`` item and vector, both ids of type bigint. Queries that take QUERY_BYTES
+    at most go to every task, and the items are read in place, batch by batch as a matrix. Beyond that every block of
+    queries meets every part of the items in a task of its own. Either way only the k best of a task are shuffled.
+    Negative scores stay; ties are settled by item. Null ids or vectors, and vectors of another length than the
+    queries' first, do not count; a zero vector has a cosine of 0 with all.
     """
     asked = queries.filter(F.col("vector").isNotNull() & F.col("query").isNotNull()).select("query", F.col("vector").cast("array<double>").alias("vector"))
     held = items.filter(F.col("vector").isNotNull() & F.col("item").isNotNull()).select("item", F.col("vector").cast("array<double>").alias("vector"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0)).alias("numbers")).first()
+    if size["numbers"] * 8 <= QUERY_BYTES:
+        met = _nearest_in_place(asked, held, k)
+        return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "rank", "item", "score")
+    blocks = max(1, -(-size["n"] // QUERY_BLOCK))
     parts = max(1, -(-held.count() // ITEM_PART))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     held = held.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -92,10 +100,33 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         return pa.table({"query": q[rows], "item": i[cols], "score": scores[rows, cols]})
 
     met = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(run, schema)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "rank", "item", "score")
 
 
+def _nearest_in_place(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """query, item, score of the ``k`` best items of each partition of ``held``, the queries being few."""
+    q, qv = _matrix(asked.toArrow(), "query")
+    sent = asked.sparkSession.sparkContext.broadcast((q, qv))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, qv = sent.value
+        items, scores = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
+        for batch in batches:
+            i, iv = _matrix(pa.Table.from_batches([batch]), "item", qv.shape[1])
+            step = max(1, min(ITEM_SLICE, SCORES // max(1, len(q))))
+            for at in range(0, len(i), step):
+                part = i[at : at + step]
+                items = np.concatenate([items, np.broadcast_to(part, (len(q), len(part)))], axis=1)
+                scores = np.concatenate([scores, np.round(qv @ iv[at : at + step].T, 9)], axis=1)
+                first = np.lexsort((items, -scores), axis=1)[:, :k]
+                items, scores = np.take_along_axis(items, first, axis=1), np.take_along_axis(scores, first, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, items.shape[1])), pa.array(items.ravel()), pa.array(scores.ravel())], names=["query", "item", "score"])
+
+    if not len(q):
+        return held.sparkSession.createDataFrame([], "query bigint, item bigint, score double")
+    return held.mapInArrow(run, "query bigint, item bigint, score double")
+
+
 def _matrix(table: pa.Table, key: str, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and unit vectors as rows; vectors of another length are left out."""
     vectors_ = table.column("vector").combine_chunks()

@@ -89,6 +89,18 @@ def test_bm25_against_brute_force(spark, config):
     assert found == {k: v for k, v in expected.items() if v}
 
 
+def test_containment_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(f"d{i}", rng.choice(["a", "a", "b", None]), rng.choice([None, 0, rng.randint(1, 40)]), rng.choice([None, -3, 0, *[rng.randint(1, 60)] * 5])) for i in range(300)]
+    fit = [r for r in rows if None not in r and r[3] >= 0]
+    expected = {r[0]: 0 for r in rows}
+    for d, p, s, e in fit:
+        expected[d] = sum(p == q and s <= t and f <= e and f - t < e - s for _, q, t, f in fit)
+    df = spark.createDataFrame(rows, "doc string, path string, start int, end int")
+    assert {r.doc: r.inner for r in lexical.contained_counts(df).collect()} == expected
+    assert lexical.contained_counts(df.limit(0)).collect() == []
+
+
 def test_stopwords_that_name_identifiers_stay(spark):
     symbols = spark.createDataFrame([("s", "function", "toItem", "Any.toItem", "p", 1, 2, "", "", "")], SYMBOL)
     kept = lexical.effective_stopwords(symbols)
@@ -96,7 +108,10 @@ def test_stopwords_that_name_identifiers_stay(spark):
     assert "to" in lexical.effective_stopwords(symbols, LEXICAL_V3)
 
 
-def test_nearest_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("in_place", [0, 1 << 20])
+def test_nearest_against_brute_force(spark, monkeypatch, in_place):
+    monkeypatch.setattr(semantic, "QUERY_BYTES", in_place)
+    monkeypatch.setattr(semantic, "ITEM_SLICE", 7)
     monkeypatch.setattr(semantic, "QUERY_BLOCK", 3)
     monkeypatch.setattr(semantic, "ITEM_PART", 20)
     rng = np.random.default_rng(1)
