@@ -7,7 +7,7 @@ The table keeps row images in files that are never rewritten. A batch of changes
 3. appending the images of the changes that are newer than the stored one, and
 4. setting the bits of the superseded rows in the deletion bitmaps of their files.
 
-Readers join the bitmaps to the files by (file, block of positions) and drop the rows whose bit is set.
+Readers meet the bitmaps by (file, block of positions), without a shuffle of images, and drop the rows whose bit is set.
 Deletes stay in the table as tombstones, so that an older change which arrives later cannot bring a row back;
 readers leave them out. The result depends on the order columns only, never on the order of arrival or on how
 the feed was cut into batches.
@@ -15,6 +15,7 @@ the feed was cut into batches.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.ids import outer_trim, requirement_id, symbol_id
 from linkloom.functions.timestamps import moment_micros
-from linkloom.session import workspace
+from linkloom.session import materialize, workspace
 
 #: positions covered by one bitmap row, as Spark's bitmap functions define it
 BITMAP_BITS = 32_768
+#: bytes of bitmaps that one read sends to every task at most
+BITMAP_BYTES = 64 << 20
 
 
 class DeltaTable:
@@ -92,27 +95,63 @@ class DeltaTable:
         self._files().mkdirs(self._hadoop_path(self._path("applied", batch)))
         self.batches += 1
 
-    def read(self) -> DataFrame:
-        """The rows that exist now: keys, order and payload. A table without a batch cannot be read."""
-        files = [self._path("data", i) for i in range(self.batches)]
-        rows = self.spark.read.parquet(*files).select(
+    def _images(self, files: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*files).select(
             *self.keys, *self.order, *self.payload, "__deleted",
             F.col("_metadata.file_path").alias("file"),
             F.expr(f"_metadata.row_index div {BITMAP_BITS}").alias("block"),
             F.expr(f"cast(_metadata.row_index % {BITMAP_BITS} as int)").alias("__bit"),
         )
-        if self.batches > 1:
-            bitmaps = self.spark.read.parquet(*[self._path("deleted", i) for i in range(1, self.batches)])
-            merged = bitmaps.groupBy("file", "block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-            octet = F.conv(F.hex(F.expr("substring(bits, __bit div 8 + 1, 1)")), 16, 10).cast("int")
-            is_set = F.expr("shiftright(__octet, __bit % 8) & 1") == 1
-            rows = rows.join(merged, ["file", "block"], "left").withColumn("__octet", octet)
-            rows = rows.filter(F.col("bits").isNull() | ~is_set)
-        return rows.filter(~F.col("__deleted")).select(*self.keys, *self.order, *self.payload)
 
+    def read(self) -> DataFrame:
+        """The rows that exist now: keys, order and payload. A table without a batch cannot be read.
 
-def arrival_batches(feed: DataFrame, column: str, batches: int) -> list[DataFrame]:
-    """Cut a feed into batches of about equal size by the time of arrival; nulls arrive last.
+        Images are never shuffled: files without a bitmap are read as they are, the others in groups whose bitmaps take
+        BITMAP_BYTES at most and go to every task. One group is the usual case.
+        """
+        kept = [*self.keys, *self.order, *self.payload]
+        folders = [self._path("data", i) for i in range(self.batches)]
+        if self.batches == 1:
+            return self._images(folders).filter(~F.col("__deleted")).select(*kept)
+        bitmaps = self.spark.read.parquet(*[self._path("deleted", i) for i in range(1, self.batches)])
+        merged = materialize(bitmaps.groupBy("file", "block").agg(F.expr("bitmap_or_agg(bits)").alias("bits")), "bitmaps")
+        # one row for each file of the table, fewer than the listing that Spark makes of it
+        sizes = {r["file"]: r["n"] * BITMAP_BITS // 8 for r in merged.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+        octet = F.conv(F.hex(F.expr("substring(bits, __bit div 8 + 1, 1)")), 16, 10).cast("int")
+        is_set = F.expr("shiftright(__octet, __bit % 8) & 1") == 1
+        whole = sum(sizes.values()) <= BITMAP_BYTES
+        groups = [(folders, merged)] if whole else [(files, merged.filter(F.col("file").isin(files))) for files in _packed(sizes, BITMAP_BYTES)]
+        if not whole and (bare := [f for f in self._data_files(folders) if f not in sizes]):
+            groups.append((bare, None))
+        parts = []
+        for files, marks in groups:
+            rows = self._images(files)
+            if marks is not None:
+                rows = rows.join(F.broadcast(marks), ["file", "block"], "left").withColumn("__octet", octet)
+                rows = rows.filter(F.col("bits").isNull() | ~is_set)
+            parts.append(rows.filter(~F.col("__deleted")).select(*kept))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def _data_files(self, folders: list[str]) -> list[str]:
+        """The files of the table, named as the bitmaps name them."""
+        return [r["file"] for r in self.spark.read.parquet(*folders).select(F.col("_metadata.file_path").alias("file")).distinct().collect()]
+
+
+def _packed(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Names in groups whose sizes sum up to ``most`` at most, or of a single one."""
+    groups: list[list[str]] = []
+    room = 0
+    for name in sorted(sizes):
+        if not groups or sizes[name] > room:
+            groups.append([])
+            room = most
+        groups[-1].append(name)
+        room -= sizes[name]
+    return groups
+
+
+def arrival_batches(feed: DataFrame, column: str, batches: int) -> Column:
+    """The number of the batch, from 0, that a row of ``feed`` belongs to by its time of arrival; nulls arrive last.
 
     The cuts only decide what is applied together, so an approximate quantile is enough.
     """
@@ -120,19 +159,14 @@ def arrival_batches(feed: DataFrame, column: str, batches: int) -> list[DataFram
     shares = [i / batches for i in range(1, batches)]
     row = feed.agg(F.percentile_approx(micros, shares, 1000).alias("cuts")).first() if shares else None
     cuts = sorted(set((row and row["cuts"]) or []))
-    timed = feed.withColumn("__at", micros)
-    parts, low = [], None
-    for cut in cuts:
-        keep = F.col("__at") <= cut
-        parts.append(timed.filter(keep if low is None else keep & (F.col("__at") > low)).drop("__at"))
-        low = cut
-    rest = F.col("__at").isNull()
-    parts.append(timed.filter(rest | (F.col("__at") > low) if low is not None else F.lit(True)).drop("__at"))
-    return parts
+    number = F.lit(len(cuts))
+    for i, cut in reversed(list(enumerate(cuts))):
+        number = F.when(micros <= cut, i).otherwise(number)
+    return number
 
 
-def decision_changes(decisions: DataFrame) -> DataFrame:
-    """The changes of a decision log that can take effect, as a feed for :class:`DeltaTable`.
+def decision_changes(decisions: DataFrame, *kept: Column) -> DataFrame:
+    """The changes of a decision log that can take effect, as a feed for :class:`DeltaTable`, with the columns ``kept``.
 
     Dropped: a requirementId, proposedSymbolId, kind or timestamp that is null, empty or blank, a timestamp that
     names no real moment, a kind other than accept, reject and redirect (after trimming and lower-casing).
@@ -145,7 +179,7 @@ def decision_changes(decisions: DataFrame) -> DataFrame:
         F.col("seq").cast("bigint").alias("seq"),
         symbol_id(F.col("symbolId")).alias("symbolId"),
         (kind == "reject").alias("__deleted"),
-        kind.alias("__kind"),
+        kind.alias("__kind"), *kept,
     ).filter(
         F.col("requirementId").isNotNull() & F.col("proposedSymbolId").isNotNull() & F.col("moment").isNotNull()
         & F.col("__kind").isin("accept", "reject", "redirect")
@@ -161,6 +195,11 @@ def current_links(decisions: DataFrame, batches: int = 3) -> DataFrame:
     spark = decisions.sparkSession
     table = DeltaTable(spark, workspace(spark, "links"), ["requirementId", "proposedSymbolId"], ["moment", "seq"], ["symbolId"])
     needed = decisions.select("requirementId", "proposedSymbolId", "symbolId", "seq", "kind", "timestamp", "receivedAt")
-    for part in arrival_batches(needed, "receivedAt", batches):
-        table.apply(decision_changes(part))
+    # the feed is read and parsed once, and lies by batches from then on
+    path = workspace(spark, "changes")
+    numbered = decision_changes(needed, arrival_batches(needed, "receivedAt", batches).alias("__batch"))
+    numbered.write.partitionBy("__batch").parquet(path)
+    changes = spark.read.schema(numbered.schema).parquet(path)
+    for i in range(batches):
+        table.apply(changes.filter(F.col("__batch") == i).drop("__batch"))
     return table.read().select("requirementId", "proposedSymbolId", "symbolId", "seq")

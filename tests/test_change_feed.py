@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions.timestamps import moment_micros
+from linkloom.operators import change_feed
 from linkloom.operators.change_feed import DeltaTable, current_links
 
 SCHEMA = "seq bigint, requirementId string, proposedSymbolId string, symbolId string, kind string, timestamp string, receivedAt timestamp, note string, `__deleted` string, moment string"
@@ -66,6 +67,19 @@ def test_late_change_does_not_revive_a_deleted_link(spark, tmp_path):
     assert rows_of(again.read()) == [("a", 9, "n"), ("b", 2, "w")]
 
 
+def test_reads_in_groups_of_files(spark, tmp_path, monkeypatch):
+    """Bitmaps beyond the bound go out in groups of files; files without one are read as they are."""
+    table = DeltaTable(spark, f"file://{tmp_path}/t", ["k"], ["o"], ["v"])
+    rows = spark.range(0, 3000, 1, 6).select(F.col("id").alias("k"), F.lit(1).alias("o"), F.lit("a").alias("v"), F.lit(False).alias("__deleted"))
+    table.apply(rows)
+    table.apply(rows.filter("k < 900").withColumn("o", F.lit(2)).withColumn("v", F.lit("b")))
+    table.apply(rows.filter("k < 100").withColumn("o", F.lit(3)).withColumn("__deleted", F.lit(True)))
+    whole = rows_of(table.read())
+    monkeypatch.setattr(change_feed, "BITMAP_BYTES", 1)
+    assert rows_of(table.read()) == whole and len(whole) == 2900
+    assert "Exchange hashpartitioning" not in table.read()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_rows_in_one_file_use_several_bitmaps(spark, tmp_path):
     table = DeltaTable(spark, f"file://{tmp_path}/t", ["k"], ["o"], ["v"])
     first = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("k"), F.lit(1).alias("o"), F.lit("a").alias("v"), F.lit(False).alias("__deleted"))
