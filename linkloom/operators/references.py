@@ -3,8 +3,8 @@
 Parent keys are cut into ranges of their 64-bit hash, and each range is stored as sorted arrays. References are
 sent to the same ranges and probed there, a whole Arrow table at once, by binary search; a hit of the hash counts
 only if the key itself is equal. Hashing the key makes ranges equally large whatever the keys look like. A range
-that receives far more references than the others (a key may be referred to by a third of all rows) is split by
-the referring rows, and its array goes to each part.
+that receives more references than a probe takes at once (a key may be referred to by a third of all rows) is cut into
+parts by the referring rows, and its array goes to each part. The loads of ranges stay in a table on the cluster.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from linkloom.session import default_partitions, materialize
 ARRAY_KEYS, PROBE_ROWS = 100_000, 250_000
 
 
+#: share of the referring rows by which the loads of ranges are estimated
+LOAD_SAMPLE = 1 / 16
+
+
 def _ranged(df: DataFrame, keys: list[str], bits: int) -> DataFrame:
     hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys]))
     return hashed.withColumn("__range", F.shiftrightunsigned("__h", 64 - bits).cast("int"))
@@ -61,11 +65,22 @@ def _flat(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
     return values.cast(kind)
 
 
-def orphans(references: DataFrame, parents: DataFrame, keys: list[str], probe_rows: int = PROBE_ROWS) -> DataFrame:
+def _parts(sample: DataFrame, fraction: float, keys: list[str], bits: int, probe_rows: int) -> DataFrame | None:
+    """__range and __parts of the ranges that receive more than ``probe_rows`` references; None where there are none.
+
+    A written table of one row a range at most, which Spark broadcasts where its files are small.
+    """
+    loads = _ranged(sample.dropna(subset=keys), keys, bits).groupBy("__range").agg((F.count(F.lit(1)) / fraction).alias("n"))
+    table = materialize(loads.filter(F.col("n") > probe_rows).select("__range", F.ceil(F.col("n") / probe_rows).cast("int").alias("__parts")), "range-loads")
+    return None if table.isEmpty() else table
+
+
+def orphans(references: DataFrame, parents: DataFrame, keys: list[str], probe_rows: int = PROBE_ROWS, sample: DataFrame | None = None, fraction: float = 1.0) -> DataFrame:
     """The rows of ``references`` whose ``keys`` are in no row of ``parents``.
 
     Rows of ``references`` with a null key are left out, as are parents with one. Repeated references come out
-    once or more. Without parents every reference comes out, without references none.
+    once or more. Without parents every reference comes out, without references none. ``sample`` (about ``fraction`` of
+    the references) only decides into how many parts a range is cut, never what comes out.
     """
     spark = references.sparkSession
     columns = references.columns
@@ -73,19 +88,12 @@ def orphans(references: DataFrame, parents: DataFrame, keys: list[str], probe_ro
     bits = max(1, math.ceil(math.log2(max(default_partitions(spark) * 4, count / ARRAY_KEYS, 2))))
     arrays = materialize(sorted_key_arrays(parents, keys, bits), "key-arrays")
     refs = _ranged(references.dropna(subset=keys), keys, bits)
-    # one number for each range, of which there are as many as arrays
-    loads = {r["__range"]: r["count"] for r in refs.groupBy("__range").count().collect()}
-    # all ranges are cut alike so that a part holds about probe_rows; only such as hold far more get a number of their own
-    base = max(1, math.ceil(sum(loads.values()) / max(1, len(loads)) / probe_rows))
-    splits = {k: math.ceil(n / probe_rows) for k, n in loads.items() if n > 2 * base * probe_rows}
-    if splits or base > 1:
-        known = F.create_map(*[F.lit(x) for pair in splits.items() for x in pair]) if splits else F.lit(None).cast("map<int,int>")
-        parts = F.coalesce(known[F.col("__range")], F.lit(base))
-        crowded = F.col("__range").isin(list(splits))
-        # equal references of a crowded range fall together here, the others are spread by their whole row
-        refs = refs.filter(~crowded).unionByName(refs.filter(crowded).distinct()) if splits else refs
-        refs = refs.withColumn("__part", F.pmod(F.xxhash64(*columns), parts).cast("int"))
-        arrays = arrays.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    parts = _parts(references if sample is None else sample, fraction, keys, bits, probe_rows)
+    if parts is not None:
+        # a reference goes to any part of its range, so that equal ones, however many, are spread like others
+        refs = refs.join(parts, "__range", "left")
+        refs = refs.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+        arrays = arrays.join(parts, "__range", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
     else:
         refs, arrays = refs.withColumn("__part", F.lit(0)), arrays.withColumn("__part", F.lit(0))
     size = len(keys)
@@ -129,8 +137,9 @@ def symbol_references(retrieval: DataFrame, labeled: DataFrame, stored: DataFram
 def orphan_symbols(retrieval: DataFrame, labeled: DataFrame, stored: DataFrame, commits: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distinct references that no snapshot row answers: tbl, period, requirementId, symbolId."""
     refs = symbol_references(retrieval, labeled, stored, commits)
+    few = symbol_references(*[t.sample(LOAD_SAMPLE, seed=1) for t in (retrieval, labeled, stored)], commits)
     parents = symbols.select(F.col("repositoryCommit").alias("commit"), symbol_id(F.col("symbolId")).alias("symbolId"))
-    return orphans(refs, parents, ["commit", "symbolId"]).select("tbl", "period", "requirementId", "symbolId").distinct()
+    return orphans(refs, parents, ["commit", "symbolId"], sample=few, fraction=LOAD_SAMPLE).select("tbl", "period", "requirementId", "symbolId").distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -51,3 +51,13 @@ def test_references_of_three_tables(spark):
     stored = spark.createDataFrame([("r3", "TS:Z", "c2"), ("r3", "TS:Z", "c2"), (None, "TS:Z", "c2")], "requirementId string, symbolId string, commit string")
     found = {tuple(x) for x in orphan_symbols(retrieval, labeled, stored, commits, symbols).collect()}
     assert found == {("retrieval", "2025-03", "REQ-1", "ts:new"), ("labeled_links", "2025-03", "R2", "ts:z"), ("stored_links", "2025-04", "R3", "TS:Z")}
+
+
+def test_one_reference_that_is_a_third_of_all_rows_is_spread(spark):
+    """Equal references lie in several parts of their range, and no part takes many more than it should."""
+    rows = [("hot", 1)] * 3000 + [(f"k{i % 500}", i) for i in range(6000)]
+    refs = spark.createDataFrame(rows, "k string, n int").repartition(4)
+    parents = spark.createDataFrame([(f"k{i}",) for i in range(0, 500, 2)], "k string")
+    found = orphans(refs, parents, ["k"], probe_rows=100)
+    assert sorted(map(tuple, found.collect())) == sorted(r for r in rows if r[0] == "hot" or int(r[0][1:]) % 2)
+    assert orphans(refs, parents, ["k"], probe_rows=100, sample=refs.sample(0.25, seed=3), fraction=0.25).count() == found.count()
