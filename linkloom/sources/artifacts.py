@@ -6,7 +6,9 @@ Tables inside of the engine are Parquet; these readers and writers are its edges
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,9 @@ def _lines(spark: SparkSession, path: str, schema: str, version: int, counted: s
     if len(headers) > 1:
         raise ValueError(f"{path}: more than one header")
     header = headers[0].asDict() if headers else None
-    body = rows.filter("artifact is null and _corrupt is null").select(*kind.names)
+    if bad := rows.filter("_corrupt is not null").select("artifact", "_corrupt").limit(1).collect():
+        raise ValueError(f"{path}: a line is not valid JSON: {bad[0]['_corrupt'][:80]}")
+    body = rows.filter("artifact is null").select(*kind.names)
     if header:
         if header["version"] != version:
             raise ValueError(f"{path}: version {header['version']}, expected {version}")
@@ -126,6 +130,124 @@ def is_current(stored: dict | None, wanted: dict) -> bool:
     return stored is not None and all(stored.get(k) == wanted.get(k) for k in ("repositoryCommit", "engineVersion", "excludePatterns"))
 
 
+def write_document(rows: DataFrame, path: str, head: dict, name: str, order: list[str], tail: dict | None = None) -> None:
+    """One JSON object: the keys of ``head``, ``name`` with all rows as an array sorted by ``order``, the keys of ``tail``.
+
+    The rows stream through one task into one file, as readers of the format expect; they are never on the driver. Null
+    fields are left out of a row. Tables that should stay many files go through :func:`write_table`.
+    """
+    columns = [c for c in rows.columns if not c.startswith("__")]  # what only orders the rows is not written
+    opening = json.dumps(head, ensure_ascii=False)[:-1] + (", " if head else "") + json.dumps(name) + ": ["
+    closing = "]" + "".join(f", {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in (tail or {}).items()) + "}"
+    lines = rows.repartition(1).sortWithinPartitions(*order).select(F.to_json(F.struct(*columns)).alias("value"))
+
+    def framed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = False
+        yield pd.DataFrame({"value": [opening]})
+        for frame in frames:
+            if len(frame):
+                texts = ("," + frame["value"]).tolist()
+                texts[0] = texts[0] if begun else texts[0][1:]
+                begun = True
+                yield pd.DataFrame({"value": texts})
+        yield pd.DataFrame({"value": [closing]})
+
+    # an empty table has no partition to frame
+    framed_lines = lines.mapInPandas(framed, "value string") if not lines.isEmpty() else rows.sparkSession.createDataFrame([(opening + closing,)], "value string")
+    framed_lines.coalesce(1).write.text(path)
+
+
+def write_proposals(proposals: DataFrame, failures: DataFrame, path: str, provenance: dict, bands: dict[str, float], usage: dict, partial: bool = False) -> None:
+    """The proposals of a run by requirement and rank, its failures (few) and its usage; ``partial`` only where it is true."""
+    names = [c.split(" ")[0] for c in PROPOSAL.split(", ") if c.split(" ")[0] in proposals.columns]
+    failed = [json.loads(r) for r in failures.toJSON().collect()]
+    tail = {"failures": failed, "usage": usage} | ({"partial": True} if partial else {})
+    write_document(proposals.select(*names), path, {"artifact": "proposals", "version": 1, **provenance, "bands": bands}, "proposals", ["requirementId", "rank", "symbolId"], tail)
+
+
+def write_decisions(log: DataFrame, path: str) -> None:
+    """A decision log in the order of ``seq``, without it; :func:`read_decisions` reads it back."""
+    names = [c.split(" ")[0] for c in DECISION.split(", ") if c.split(" ")[0] in log.columns]
+    ordered = log.select(F.struct(*names).alias("d"), "seq")
+    write_document(ordered.select("d.*", F.col("seq").alias("__seq")), path, {"artifact": "decision-log", "version": 1}, "decisions", ["__seq"])
+
+
+def write_link_index(index: DataFrame, path: str, commit: str) -> None:
+    """Links by requirement and symbol."""
+    head = {"artifact": "link-index", "version": 1, "repositoryCommit": commit}
+    write_document(index.select("requirementId", "symbolId", "reviewer", "timestamp", "commit"), path, head, "links", ["requirementId", "symbolId"])
+
+
+def write_payload_log(items: DataFrame, path: str, provenance: dict, mode: str, embedded: int | None = None) -> None:
+    """What was sent: one entry for each item by requirement and rank; ``embedded`` texts for a run that embeds."""
+    retrieval = {"mode": mode} | ({"embedding": {"embedded": embedded}} if embedded is not None else {})
+    head = {"artifact": "payload-log", "version": 1, **provenance, "retrieval": retrieval}
+    write_document(items, path, head, "items", ["requirementId", "rank", "symbolId"])
+
+
+def write_embedding_cache(cache: DataFrame, needed: DataFrame, path: str, model: str, dimensions: int) -> None:
+    """The vectors that this run needed, by key; :func:`read_embedding_cache` reads them back."""
+    from linkloom.operators.semantic import pruned_cache
+
+    head = {"artifact": "embedding-cache", "version": 1, "modelId": model, "dimensions": dimensions}
+    write_document(pruned_cache(cache, needed).select("key", "vector"), path, head, "entries", ["key"])
+
+
+def metrics_report(metrics: DataFrame, unscored: DataFrame, configuration: str, provenance: dict | None, ks: tuple[int, ...] = (1, 3, 5, 10)) -> str:
+    """The slices of one configuration (rows of ``evaluation.averaged`` by stratum) with the requirements each leaves out."""
+    left_out: dict[str, list[str]] = {}
+    for r in unscored.orderBy("stratum", "requirementId").collect():  # ids of labelled requirements, a list made by hand
+        left_out.setdefault(r["stratum"], []).append(r["requirementId"])
+    slices = [
+        {
+            "label": r["stratum"], "requirementCount": r["scored"], "requirementsWithoutGroundTruth": left_out.get(r["stratum"], []), "recallAtK": {str(k): r[f"recall_{k}"] for k in ks},
+            "hitAtK": {str(k): r[f"hit_{k}"] for k in ks}, "meanReciprocalRank": r["mrr"],
+        }
+        for r in metrics.filter(F.col("configurationId") == configuration).orderBy("stratum").collect()
+    ]
+    body = {"artifact": "retrieval-metrics", "version": 1, "provenance": provenance, "configurationId": configuration, "ks": list(ks), "breakdowns": slices}
+    return json.dumps(body, indent=2, ensure_ascii=False) + "\n"
+
+
+def proposal_metrics_report(metrics: DataFrame, provenance: dict | None, outside: int) -> str:
+    """The slices of ``evaluation.prediction_metrics`` with their bands, and how many proposals lie outside of the scope."""
+    slices = [
+        {
+            "label": r["stratum"], "bands": ["suggest"] if r["stratum"] == "suggest-only" else ["suggest", "review"], "requirementCount": r["requirements"], "requirementsWithoutGroundTruthCount": r["without_labels"],
+            "predicted": r["predicted"], "relevant": r["relevant"], "truePositives": r["true_positives"], "precision": r["precision"], "recall": r["recall"], "f1": r["f1"],
+        }
+        for r in metrics.orderBy("stratum").collect()
+    ]
+    return json.dumps({"artifact": "proposal-metrics", "version": 1, "provenance": provenance, "breakdowns": slices, "proposalsOutsideScope": outside}, indent=2, ensure_ascii=False) + "\n"
+
+
+def comparison_report(comparison: DataFrame, omitted: dict[int, list[str]]) -> str:
+    """Rows of ``evaluation.compare``, and the ks that only some configurations report."""
+    body = {"artifact": "metrics-comparison", "version": 1, "strata": [json.loads(r) for r in comparison.orderBy("stratum").toJSON().collect()], "omittedKs": {str(k): v for k, v in omitted.items()}}
+    return json.dumps(body, indent=2, ensure_ascii=False) + "\n"
+
+
+def init_report(root: str, created: list[str], skipped: list[str], overwritten: list[str]) -> str:
+    return json.dumps({"artifact": "init-report", "version": 1, "repositoryRoot": root, "created": created, "skipped": skipped, "overwritten": overwritten}, indent=2) + "\n"
+
+
+def validation_report(findings: DataFrame, documents: int, requirements: int, paths: list[str]) -> str:
+    """Findings of ``documents.validation_report`` as violations and warnings; valid without a violation."""
+    parts = {n: [json.loads(r) for r in findings.filter(F.col("level") == n).drop("level").orderBy("path", "rule", "field").toJSON().collect()] for n in ("violation", "warning")}
+    body = {"artifact": "validation-report", "version": 1, "valid": not parts["violation"], "specPaths": paths, "requirementCount": requirements, "documentCount": documents, "violations": parts["violation"], "warnings": parts["warning"]}
+    return json.dumps(body, indent=2, ensure_ascii=False) + "\n"
+
+
+def write_coverage_report(states: DataFrame, path: str, commit: str, engine: str, broken: DataFrame | None = None) -> None:
+    """States of ``links.coverage`` by requirement under their sums; broken links only where staleness was checked."""
+    sums = {r["state"]: r for r in states.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("links").alias("links"), F.sum("broken_links").alias("broken")).collect()}
+    total = lambda c: sum(r[c] for r in sums.values())
+    summary = {"total": total("n"), **{s: sums[s]["n"] if s in sums else 0 for s in ("linked", "stale", "unlinked")}, "linkTotal": total("links"), "brokenLinkTotal": total("broken")}
+    head = {"artifact": "coverage-report", "version": 1, "repositoryCommit": commit, "engineVersion": engine, "stalenessChecked": broken is not None, "summary": summary}
+    tail = {} if broken is None else {"brokenLinks": [json.loads(r) for r in broken.orderBy("requirementId", "symbolId").toJSON().collect()]}
+    write_document(states, path, head, "requirements", ["requirementId"], tail)
+
+
 def envelope(artifact: str, commit: str, engine: str, **parts: DataFrame | int | float | str | bool) -> str:
     """A small result as one JSON text: rows as lists of objects. Meant for reports, whose rows are few."""
     body = {k: [json.loads(r) for r in v.toJSON().collect()] if isinstance(v, DataFrame) else v for k, v in parts.items()}

@@ -218,6 +218,57 @@ def test_artifacts(spark, tmp_path):
     assert report["total"] == 1 and report["requirements"][0]["requirementId"] == "r"
 
 
+def whole(path):
+    return json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+
+
+def test_documents_written_and_read_back(spark, tmp_path):
+    log = spark.createDataFrame([(2, "q", "s", "reject", 0.5), (1, "r", "s", "accept", None)], "seq bigint, requirementId string, proposedSymbolId string, kind string, modelConfidence double")
+    artifacts.write_decisions(log, str(tmp_path / "log"))
+    read = artifacts.read_decisions(spark, str(tmp_path / "log"))
+    assert [(r.seq, r.requirementId, r.kind, r.modelConfidence) for r in read.orderBy("seq").collect()] == [(0, "r", "accept", None), (1, "q", "reject", 0.5)]
+    proposals = spark.createDataFrame([("r", "b", 2, "supports", 0.5, "w", "review"), ("r", "a", 1, "implements", 1.0, "w", "suggest")], artifacts.PROPOSAL)
+    failures = spark.createDataFrame([("q", "invalid-json")], "requirementId string, rule string")
+    artifacts.write_proposals(proposals, failures, str(tmp_path / "p"), {"repositoryCommit": "c"}, {"suggest": 0.75, "review": 0.5}, {"calls": 2}, partial=True)
+    written = whole(tmp_path / "p")
+    assert [p["symbolId"] for p in written["proposals"]] == ["a", "b"] and written["partial"] is True and written["failures"] == [{"requirementId": "q", "rule": "invalid-json"}]
+    assert rows(artifacts.read_proposals(spark, str(tmp_path / "p"))) == rows(proposals)
+    artifacts.write_proposals(proposals.limit(0), failures.limit(0), str(tmp_path / "none"), {}, {}, {})
+    assert whole(tmp_path / "none")["proposals"] == [] and "partial" not in whole(tmp_path / "none")
+    cache = spark.createDataFrame([("b", [0.6, 0.8]), ("a", [1.0, 0.0]), ("old", [0.0, 1.0])], "key string, vector array<double>")
+    artifacts.write_embedding_cache(cache, cache.filter("key <> 'old'"), str(tmp_path / "cache"), "m", 2)
+    assert rows(artifacts.read_embedding_cache(spark, str(tmp_path / "cache"), "m", 2)) == [("a", [1.0, 0.0]), ("b", [0.6, 0.8])]
+    index = spark.createDataFrame([("r", "b", "x", "t", "c"), ("r", "a", None, "t", "c")], "requirementId string, symbolId string, reviewer string, timestamp string, commit string")
+    artifacts.write_link_index(index, str(tmp_path / "index"), "c")
+    assert whole(tmp_path / "index")["links"] == [{"requirementId": "r", "symbolId": "a", "timestamp": "t", "commit": "c"}, {"requirementId": "r", "symbolId": "b", "reviewer": "x", "timestamp": "t", "commit": "c"}]
+    artifacts.write_payload_log(proposals.select("requirementId", "rank", "symbolId"), str(tmp_path / "sent"), {"repositoryCommit": "c"}, "semantic", 7)
+    assert whole(tmp_path / "sent")["retrieval"] == {"mode": "semantic", "embedding": {"embedded": 7}}
+    states = spark.createDataFrame([("r", "linked", 2, 1), ("q", "unlinked", 0, 0)], "requirementId string, state string, links bigint, broken_links bigint")
+    artifacts.write_coverage_report(states, str(tmp_path / "cov"), "c", "1.0")
+    assert whole(tmp_path / "cov")["summary"] == {"total": 2, "linked": 1, "stale": 0, "unlinked": 1, "linkTotal": 2, "brokenLinkTotal": 1} and "brokenLinks" not in whole(tmp_path / "cov")
+
+
+def test_metric_reports_read_back(spark, tmp_path):
+    kinds = "configurationId string, stratum string, scored bigint, " + ", ".join(f"recall_{k} double, hit_{k} double" for k in (1, 3, 5, 10)) + ", mrr double"
+    metrics = spark.createDataFrame([("m", "overall", 2, 0.1, 10.0, 0.3, 30.0, 0.5, 50.0, 1.0, 100.0, 0.25), ("n", "overall", 1, *[0.0] * 9)], kinds)
+    unscored = spark.createDataFrame([("b", "overall"), ("a", "overall")], "requirementId string, stratum string")
+    text = artifacts.metrics_report(metrics, unscored, "m", {"repositoryCommit": "c"})
+    assert json.loads(text)["breakdowns"][0]["requirementsWithoutGroundTruth"] == ["a", "b"]
+    (tmp_path / "m.json").write_text(text)
+    read = artifacts.read_metrics(spark, str(tmp_path / "m.json")).first()
+    assert (read.label, read.requirementCount, read.recall["3"], read.hit["10"], read.mrr) == ("overall", 2, 0.3, 100.0, 0.25)
+    row = ("suggest-only", 3, 1, 2, 4, 1, 0.5, 0.25, 1 / 3)
+    proposal = spark.createDataFrame([row], "stratum string, requirements bigint, without_labels bigint, predicted bigint, relevant bigint, true_positives bigint, precision double, recall double, f1 double")
+    told = json.loads(artifacts.proposal_metrics_report(proposal, None, 4))
+    assert told["breakdowns"][0]["bands"] == ["suggest"] and told["proposalsOutsideScope"] == 4
+    assert json.loads(artifacts.comparison_report(spark.createDataFrame([("s", 2, 0.5, "m,n")], "stratum string, reported int, best double, best_by string"), {3: ["m"]}))["omittedKs"] == {"3": ["m"]}
+    found = spark.createDataFrame([("a.md", "x", "bad-status", "status", "violation")], "path string, id string, rule string, field string, level string")
+    assert json.loads(artifacts.validation_report(found, 2, 1, ["docs"]))["valid"] is False
+    (tmp_path / "cut.jsonl").write_text('{"symbolId":"a"}\n{"symbolId":\n')
+    with pytest.raises(ValueError, match="not valid JSON"):
+        artifacts.read_symbol_index(spark, str(tmp_path / "cut.jsonl"))
+
+
 def test_reports(spark):
     from linkloom.plans import reports
 
