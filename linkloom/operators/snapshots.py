@@ -14,9 +14,9 @@ from linkloom.functions.ids import canonical_space, symbol_id
 
 
 def canonical_hash(*texts: Column) -> Column:
-    """SHA-256 over the canonical forms of ``texts``; lengths keep neighbouring texts apart."""
+    """SHA-256 (32 bytes) over the canonical forms of ``texts``; lengths keep neighbouring texts apart."""
     forms = [canonical_space(t) for t in texts]
-    return F.sha2(F.concat_ws("|", *[F.length(f).cast("string") for f in forms], *forms), 256)
+    return F.unhex(F.sha2(F.concat_ws("|", *[F.length(f).cast("string") for f in forms], *forms), 256))
 
 
 def snapshot_pairs(commits: DataFrame) -> DataFrame:
