@@ -89,6 +89,21 @@ def test_bm25_against_brute_force(spark, config):
     assert found == {k: v for k, v in expected.items() if v}
 
 
+@pytest.mark.parametrize("config", [LEXICAL_V5])
+def test_bm25_writes_no_pairs(spark, config, monkeypatch):
+    """Queries that meet all texts: the best of every task are written, not one row for each pair."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    rows = {}
+    monkeypatch.setattr(lexical, "materialize", lambda df, name, save=lexical.materialize: rows.setdefault(name, save(df, name)))
+    monkeypatch.setattr(lexical, "TEXT_BLOCK", 500, raising=False)
+    symbols = spark.range(4000).selectExpr("concat('s', id) as doc", "'function' as kind", "concat('w', id % 1000) as name", "'load' as qualifiedName", "'p' as relativePath", "cast(id as int) as startLine", "cast(id as int) as endLine", "'' as signature", "'' as documentation", "'save' as normalizedSource")
+    queries = spark.range(300).selectExpr("concat('q', id) as query", "concat('load save w', id) as text")
+    began = written()
+    found = lexical.bm25f(queries, symbols, 3, config).collect()
+    assert {q: [r.doc for r in sorted(found, key=lambda r: r.rank) if r.query == q] for q in ("q7", "q299")} == {"q7": ["s1007", "s2007", "s3007"], "q299": ["s1299", "s2299", "s299"]}
+    assert len(found) == 900 and max(df.count() for df in rows.values()) < 20_000 and written() - began < 4_000_000
+
+
 def test_containment_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(f"d{i}", rng.choice(["a", "a", "b", None]), rng.choice([None, 0, rng.randint(1, 40)]), rng.choice([None, -3, 0, *[rng.randint(1, 60)] * 5])) for i in range(300)]
