@@ -89,7 +89,7 @@ def test_bm25_against_brute_force(spark, config):
     assert found == {k: v for k, v in expected.items() if v}
 
 
-@pytest.mark.parametrize("config", [LEXICAL_V5])
+@pytest.mark.parametrize("config", [LEXICAL_V5, LEXICAL_V4, LEXICAL_V3])
 def test_bm25_writes_no_pairs(spark, config, monkeypatch):
     """Queries that meet all texts: the best of every task are written, not one row for each pair."""
     written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
@@ -116,6 +116,19 @@ def test_containment_against_brute_force(spark):
     assert lexical.contained_counts(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [1 << 18, 20])
+def test_containment_on_one_task_per_file(spark, monkeypatch, most):
+    monkeypatch.setattr(lexical, "FILE_SPANS", most)
+    rng = random.Random(4)
+    rows = [(f"d{i:03}", rng.choice(["a", "a", "b", "c", f"p{i % 90}", None]), rng.choice([None, 0, *[rng.randint(1, 20)] * 9]), rng.choice([None, -3, 0, *[rng.randint(1, 30)] * 9])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc string, path string, start int, end int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    found = {r.doc: r.inner for r in lexical._with_inner(df).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    fit = [r for r in rows if None not in r and r[3] >= 0]
+    assert found == {d: sum(p == q and s <= t and f <= e and f - t < e - s for _, q, t, f in fit) if None not in (p, s, e) and e >= 0 else 0 for d, p, s, e in rows}
+
+
 def test_stopwords_that_name_identifiers_stay(spark):
     symbols = spark.createDataFrame([("s", "function", "toItem", "Any.toItem", "p", 1, 2, "", "", "")], SYMBOL)
     kept = lexical.effective_stopwords(symbols)
