@@ -104,6 +104,26 @@ def test_bm25_writes_no_pairs(spark, config, monkeypatch):
     assert len(found) == 900 and max(df.count() for df in rows.values()) < 20_000 and written() - began < 4_000_000
 
 
+@pytest.mark.parametrize("config", [LEXICAL_V5, LEXICAL_V4, LEXICAL_V3])
+def test_terms_of_texts_once_a_word(spark, config, monkeypatch):
+    """The words of texts are looked at once a batch, not one by one where they stand, and are those of the columns."""
+    rng = random.Random(5)
+    ends = ["", "s", "es", "ies", "sses", "ses", "ches", "shes", "xes", "zes", "us", "is", "ss", "ES", "İs", "Σ"]
+    parts = lambda: "".join(rng.choice(["The", "of", "HTTPServer", "naïve", "日本", "id", "x9Y", "a", "B", "𝒜", "é"]) + rng.choice(ends) + rng.choice(["", "", "_", "-", "/", "\\", " ", "\t\n", "\u00a0", "'", "\x0b"]) for _ in range(rng.randint(0, 7)))
+    rows = [(i, [parts() for _ in range(5)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "n int, texts array<string>")
+    stop = list(config.stopwords)
+    terms = F.array(*[lexical._terms(F.col("texts")[i], stop, config) for i in range(5)])
+    saved = []
+    monkeypatch.setattr(lexical, "materialize", lambda df, name, save=lexical.materialize: saved.append((name, df)) or save(df, name))
+    symbols = spark.createDataFrame([("d", "function", "Loads", "A.loads", "p", 1, 2, "", "", "the boxes")], SYMBOL).withColumn("doc", F.col("symbolId"))
+    assert lexical.bm25f(spark.createDataFrame([("q", "box")], "query string, text string"), symbols, 3, config).count() == 1
+    forms = next(df for name, df in saved if name == "forms")
+    assert "lambdafunction" not in forms._jdf.queryExecution().optimizedPlan().toString()
+    found = lexical._with_terms(df.select("n", F.transform("texts", text.words).alias("terms")), stop, config)
+    assert {r.n: r.terms for r in found.collect()} == {r.n: r.terms for r in df.select("n", terms.alias("terms")).collect()}
+
+
 def test_containment_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(f"d{i}", rng.choice(["a", "a", "b", None]), rng.choice([None, 0, rng.randint(1, 40)]), rng.choice([None, -3, 0, *[rng.randint(1, 60)] * 5])) for i in range(300)]
