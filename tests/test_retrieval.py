@@ -124,6 +124,22 @@ def test_terms_of_texts_once_a_word(spark, config, monkeypatch):
     assert {r.n: r.terms for r in found.collect()} == {r.n: r.terms for r in df.select("n", terms.alias("terms")).collect()}
 
 
+@pytest.mark.parametrize("config", [LEXICAL_V4, LEXICAL_V3])
+def test_bm25_takes_texts_and_priors_in_one_pass(spark, config, monkeypatch):
+    """Where the prior is of the kind alone, no join puts texts and documents together; null docs count as documents only."""
+    saved = []
+    monkeypatch.setattr(lexical, "materialize", lambda df, name, save=lexical.materialize: saved.append((name, df)) or save(df, name))
+    rows = [(d, kind, "load", "A.load", "p", 1, 2, "", "", "the boxes") for d, kind in (("d", "function"), ("c", "function"), ("b", "file"), ("a", "file"), (None, "function"))]
+    rows += [(d, "function", "save", "A.save", "q", 1, 2, "", "", "") for d in ("e", None, None)]
+    symbols = spark.createDataFrame(rows, SYMBOL).withColumn("doc", F.col("symbolId"))
+    found = lexical.bm25f(spark.createDataFrame([("q", "box")], "query string, text string"), symbols, 3, config).orderBy("rank").collect()
+    forms = next(df for name, df in saved if name == "forms")
+    assert "Join" not in forms._jdf.queryExecution().optimizedPlan().toString()
+    p = 1 / (1 - config.b + config.b * 1)  # of the source, as long as the average
+    score = math.log(1 + (8 - 4 + 0.5) / (4 + 0.5)) * (config.k1 + 1) * p / (config.k1 + p)
+    assert [(r.doc, round(r.score, 6)) for r in found] == [("c", round(score, 6)), ("d", round(score, 6)), ("a", round(score / 2, 6))]
+
+
 def test_containment_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(f"d{i}", rng.choice(["a", "a", "b", None]), rng.choice([None, 0, rng.randint(1, 40)]), rng.choice([None, -3, 0, *[rng.randint(1, 60)] * 5])) for i in range(300)]
