@@ -140,6 +140,16 @@ def test_bm25_takes_texts_and_priors_in_one_pass(spark, config, monkeypatch):
     assert [(r.doc, round(r.score, 6)) for r in found] == [("c", round(score, 6)), ("d", round(score, 6)), ("a", round(score / 2, 6))]
 
 
+def test_stopwords_are_looked_up_once_a_word(spark, monkeypatch):
+    plans = []
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "collect", lambda df, get=frame.collect: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or get(df))
+    symbols = spark.createDataFrame([("s", "function", n, "A.x", "p", 1, 2, "", "", "") for n in ("ofThe", "theWills", "mays")], SYMBOL)
+    stop = lexical.effective_stopwords(symbols, LEXICAL_V4)
+    assert set(LEXICAL_V4.stopwords) - set(stop) == {"of", "the", "will", "may", "a"}
+    assert "Union" not in plans[0]
+
+
 def test_containment_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(f"d{i}", rng.choice(["a", "a", "b", None]), rng.choice([None, 0, rng.randint(1, 40)]), rng.choice([None, -3, 0, *[rng.randint(1, 60)] * 5])) for i in range(300)]
