@@ -140,6 +140,16 @@ def test_bm25_takes_texts_and_priors_in_one_pass(spark, config, monkeypatch):
     assert [(r.doc, round(r.score, 6)) for r in found] == [("c", round(score, 6)), ("d", round(score, 6)), ("a", round(score / 2, 6))]
 
 
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_bm25_shuffles_documents_of_found_groups_only(spark, monkeypatch, most):
+    monkeypatch.setattr(lexical, "WANTED", most, raising=False)
+    symbols = spark.range(500).selectExpr("concat('s', id) as doc", "'function' as kind", "concat('w', id % 100) as name", "'load' as qualifiedName", "'p' as relativePath", "1 as startLine", "2 as endLine", "'' as signature", "'' as documentation", "'save' as normalizedSource")
+    found = lexical.bm25f(spark.createDataFrame([("q", "w7")], "query string, text string"), symbols, 3, LEXICAL_V4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (most > 0)
+    assert [r.doc for r in found.orderBy("rank").collect()] == ["s107", "s207", "s307"]
+
+
 def test_stopwords_are_looked_up_once_a_word(spark, monkeypatch):
     plans = []
     frame = type(spark.range(1))
