@@ -73,7 +73,11 @@ def _stop_table(config: LexicalConfig) -> str:
     return f"used AS ({used}), stop AS (SELECT word FROM (SELECT unnest({_STOP}) AS word) WHERE word NOT IN (SELECT t FROM used UNION SELECT {_fold('t', config.plural_revision)} FROM used))"
 
 
-def _bm25f(config: LexicalConfig) -> str:
+#: the requirements that a search asks for, where it does not ask for all
+_TWENTIETH = "WHERE try_cast(regexp_extract(requirementId, '(\\d+)$', 1) AS INTEGER) % 20 = 0"
+
+
+def _bm25f(config: LexicalConfig, asked: str) -> str:
     r = config.plural_revision
     filtered = f"list_transform(list_filter({_tokens('content')}, lambda t: NOT list_contains(stops, t)), lambda t: {_fold('t', r)})"
     prior = "CASE WHEN kind IN ('file', 'module') THEN 0.5 ELSE 1.0 END"
@@ -90,7 +94,7 @@ def _bm25f(config: LexicalConfig) -> str:
     hits AS (SELECT doc, unnest(terms) AS term, weight / (1 - {config.b} + {config.b} * len(terms) / a) AS share FROM words JOIN avgs USING (field)),
     pseudo AS (SELECT doc, term, sum(share) AS p FROM hits GROUP BY ALL),
     dfs AS (SELECT term, count(*) AS df FROM pseudo GROUP BY term),
-    q AS (SELECT requirementId, term, count(*) AS qtf FROM (SELECT requirementId, unnest({filtered.replace("content", "text")}) AS term FROM reqs, stoplist WHERE try_cast(regexp_extract(requirementId, '(\\d+)$', 1) AS INTEGER) % 20 = 0) GROUP BY ALL){contained},
+    q AS (SELECT requirementId, term, count(*) AS qtf FROM (SELECT requirementId, unnest({filtered.replace("content", "text")}) AS term FROM reqs, stoplist {asked}) GROUP BY ALL){contained},
     raw AS (SELECT requirementId, doc, sum(qtf * ln(1 + ((SELECT count(*) FROM corpus) - df + 0.5) / (df + 0.5)) * p * {config.k1 + 1} / ({config.k1} + p)) AS s FROM q JOIN pseudo USING (term) JOIN dfs USING (term) GROUP BY ALL),
     scored AS (SELECT requirementId, doc, round(s * {prior} / (1 + {inner}), 9) AS score FROM raw JOIN corpus USING (doc) {"JOIN inside USING (doc)" if contained else ""}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY requirementId ORDER BY score DESC, doc) AS rank FROM scored WHERE score > 0)
@@ -154,7 +158,7 @@ SQL: dict[str, str] = {
     "term_stats": _with(_CORPUS, _FIELDS) + f""", pairs AS (SELECT DISTINCT doc, unnest(list_transform(list_filter({_tokens('content')}, lambda t: NOT list_contains({_STOP}, t)), lambda t: {_fold('t', 2)})) AS term FROM fields)
         SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM pairs GROUP BY term""",
     "field_lengths": _with(_CORPUS, _FIELDS) + f"SELECT field, round(avg(nullif(len(list_filter({_tokens('content')}, lambda t: NOT list_contains({_STOP}, t))), 0)), 6) AS average_length FROM fields GROUP BY field",
-    "bm25f_topk": _bm25f(LEXICAL_V5), "bm25f_v4_topk": _bm25f(LEXICAL_V4), "bm25f_v3_topk": _bm25f(LEXICAL_V3),
+    "bm25f_topk": _bm25f(LEXICAL_V5, _TWENTIETH), "bm25f_v4_topk": _bm25f(LEXICAL_V4, _TWENTIETH), "bm25f_v3_topk": _bm25f(LEXICAL_V3, ""),
     "span_containment": _with(_CORPUS) + """SELECT o.doc, count(i.doc) AS "inner" FROM corpus o LEFT JOIN corpus i ON o.repositoryCommit = i.repositoryCommit AND o.relativePath = i.relativePath
         AND o.startLine <= i.startLine AND o.endLine >= i.endLine AND i.endLine - i.startLine < o.endLine - o.startLine GROUP BY o.doc""",
     "cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_cosine_similarity(q.e, i.e), 9) AS score FROM v q, v i WHERE q.vec_id % 20 = 0),

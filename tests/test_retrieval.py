@@ -301,3 +301,23 @@ def test_whole_metrics_rank_whole_lists_of_all_requirements(spark, tmp_path):
     }
     assert {r.stratum: r.best_by for r in reference.config_comparison(spark, str(tmp_path)).collect()}["independent-plus-candidate-review"] == "bm25f-v5"
     assert {r.stratum: r.bm25f_v5 for r in reference.config_pivot(spark, str(tmp_path)).collect()}["overall"] == single[2]
+
+
+@pytest.mark.parametrize("name", ["bm25f_v3_topk"])
+def test_bm25_asks_for_every_requirement(spark, tmp_path, name):
+    """Whatever the number of a requirement is, and without one; the SQL asks for the same."""
+    import duckdb
+
+    from linkloom.queries import reference
+    from linkloom.queries.reference_sql import SQL
+
+    rows = [("REQ-A-0001", "load a board", "s"), ("REQ-A-0020", "save the boards", "s"), (" req-a-0037 ", "loaded board", None), ("REQ-A", "save", "x"), ("REQ-A-9999999999", "load", "x"), ("REQ-A-0002", "zebra", "s"), (None, "load", "x")]
+    spark.createDataFrame([(*r, []) for r in rows], "id string, title string, statement string, acceptance_criteria array<string>").selectExpr("*", "'' as difficulty").write.parquet(f"{tmp_path}/requirements.parquet")
+    symbols = [(f"ts:a.ts#{n}:function", "function", n, f"A.{n}", "a.ts", i, i + 1, "", "", "", "c1", None) for i, n in enumerate(("loadBoard", "saveBoard", "other"))]
+    spark.createDataFrame(symbols, SYMBOL + ", repositoryCommit string, loadedAt timestamp").write.parquet(f"{tmp_path}/symbol_index.parquet")
+    found = sorted(map(tuple, reference.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert {r[0] for r in found} == {"REQ-A-0001", "REQ-A-0020", "REQ-A-0037", "REQ-A", "REQ-A-9999999999"}
+    con = duckdb.connect()
+    for t in ("requirements", "symbol_index"):
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(con.sql(SQL[name]).fetchall()) == found
