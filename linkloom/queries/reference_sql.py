@@ -158,7 +158,7 @@ SQL: dict[str, str] = {
     "term_stats": _with(_CORPUS, _FIELDS) + f""", pairs AS (SELECT DISTINCT doc, unnest(list_transform(list_filter({_tokens('content')}, lambda t: NOT list_contains({_STOP}, t)), lambda t: {_fold('t', 2)})) AS term FROM fields)
         SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM pairs GROUP BY term""",
     "field_lengths": _with(_CORPUS, _FIELDS) + f"SELECT field, round(avg(nullif(len(list_filter({_tokens('content')}, lambda t: NOT list_contains({_STOP}, t))), 0)), 6) AS average_length FROM fields GROUP BY field",
-    "bm25f_topk": _bm25f(LEXICAL_V5, _TWENTIETH), "bm25f_v4_topk": _bm25f(LEXICAL_V4, _TWENTIETH), "bm25f_v3_topk": _bm25f(LEXICAL_V3, ""),
+    "bm25f_topk": _bm25f(LEXICAL_V5, _TWENTIETH), "bm25f_v4_topk": _bm25f(LEXICAL_V4, ""), "bm25f_v3_topk": _bm25f(LEXICAL_V3, ""),
     "span_containment": _with(_CORPUS) + """SELECT o.doc, count(i.doc) AS "inner" FROM corpus o LEFT JOIN corpus i ON o.repositoryCommit = i.repositoryCommit AND o.relativePath = i.relativePath
         AND o.startLine <= i.startLine AND o.endLine >= i.endLine AND i.endLine - i.startLine < o.endLine - o.startLine GROUP BY o.doc""",
     "cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, i.vec_id AS item, round(list_cosine_similarity(q.e, i.e), 9) AS score FROM v q, v i WHERE q.vec_id % 20 = 0),

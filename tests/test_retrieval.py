@@ -303,7 +303,7 @@ def test_whole_metrics_rank_whole_lists_of_all_requirements(spark, tmp_path):
     assert {r.stratum: r.bm25f_v5 for r in reference.config_pivot(spark, str(tmp_path)).collect()}["overall"] == single[2]
 
 
-@pytest.mark.parametrize("name", ["bm25f_v3_topk"])
+@pytest.mark.parametrize("name", ["bm25f_v3_topk", "bm25f_v4_topk"])
 def test_bm25_asks_for_every_requirement(spark, tmp_path, name):
     """Whatever the number of a requirement is, and without one; the SQL asks for the same."""
     import duckdb
