@@ -321,3 +321,23 @@ def test_bm25_asks_for_every_requirement(spark, tmp_path, name):
     for t in ("requirements", "symbol_index"):
         con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert sorted(con.sql(SQL[name]).fetchall()) == found
+
+
+@pytest.mark.parametrize("config", [LEXICAL_V5, LEXICAL_V4, LEXICAL_V3])
+def test_bm25_deals_many_queries_to_tasks(spark, config, monkeypatch):
+    """The best are written once a part of the texts, and there are fewer parts than partitions of texts; blocks of any size."""
+    monkeypatch.setattr(lexical, "TEXT_BLOCK", 7)
+    monkeypatch.setattr(lexical, "DEALT_QUERIES", 2, raising=False)
+    saved = {}
+    monkeypatch.setattr(lexical, "materialize", lambda df, name, save=lexical.materialize: saved.setdefault(name, save(df, name)))
+    rng = random.Random(3)
+    vocabulary = "expire session store token load save user find item query match index build note board".split()
+    rows = [(f"s{i:03}", rng.choice(["function", "file", "class"]), rng.choice(vocabulary), "C", "a.ts", i, i + rng.randint(0, 9), rng.choice(vocabulary), "", " ".join(rng.choices(vocabulary, k=5))) for i in range(150)]
+    queries = [(f"q{i}", " ".join(rng.choices(vocabulary, k=4))) for i in range(17)] + [("none", "zzz")]
+    symbols = spark.createDataFrame(rows, SYMBOL).withColumn("doc", F.col("symbolId"))
+    found = {}
+    for r in lexical.bm25f(spark.createDataFrame(queries, "query string, text string"), symbols, 5, config).orderBy("query", "rank").collect():
+        found.setdefault(r.query, []).append(r.doc)
+    assert found == {k: v for k, v in brute_bm25(queries, rows, config, set(config.stopwords), lambda w: w).items() if v}
+    # eight tasks, the first with two parts of the texts for at most three queries
+    assert len(saved["best"].inputFiles()) >= 8 and saved["best"].count() <= (17 + 3) * 5
